@@ -134,7 +134,7 @@ def maybe_in(flags, key: str, bits: int):
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): smallest node reachable over the edges (a, b); only nodes of edges come back.
+    """(node, root): smallest node reachable over the edges (a, b), for every node that has an edge.
 
     Large-star and small-star alternate until nothing changes; every round is cut at the shared folder, and
     no step gathers a component in one task: neighbours are only reduced to their minimum.
@@ -155,5 +155,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         done = check(new) == check(e)
         e = new
         if done:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError("components did not settle")

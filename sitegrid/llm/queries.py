@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality_rules, toxicity, url_filter
+from . import line_dedup, ngram_jaccard, packing, pii, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -30,8 +30,16 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_quality_rules, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii]
+    ops = [op1_quality_rules, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op9_ngram_jaccard]
     return {f.__name__: f for f in ops}
 
 
