@@ -109,13 +109,15 @@ def slices(n: int, sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [*out, (start, n)] if n > start else out
 
 
-def bitmap(df: DataFrame, key: str, bits: int) -> bytes:
+def bitmap(df: DataFrame, key: str, bits: int, slot: str | None = None) -> bytes:
     """A bitmap of 2**bits flags over hashes of a column, made on the executors; its size is fixed by `bits`.
 
+    `slot` is SQL for a flag's number, by default from xxhash64.
+
     Blocks of 64 Ki flags are merged by bit_or, so the driver gets 2**bits / 8 bytes whatever the rows.
     """
     word = F.shiftright(F.col("slot"), 6)
-    slots = df.select(F.expr(f"pmod(xxhash64({key}), {1 << bits}L)").alias("slot"))
+    slots = df.select(F.expr(slot or f"pmod(xxhash64({key}), {1 << bits}L)").alias("slot"))
     words = slots.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v"))
     out = np.zeros(1 << (bits - 6), np.int64)
     got = words.toArrow()

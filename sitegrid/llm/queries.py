@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_jaccard, packing, pii, quality_rules, toxicity, url_filter
+from . import line_dedup, ngram_jaccard, packing, pii, quality_rules, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -38,8 +38,12 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_quality_rules, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op9_ngram_jaccard]
+    ops = [op1_quality_rules, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op9_ngram_jaccard, op10_substring_dedup]
     return {f.__name__: f for f in ops}
 
 
