@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_jaccard, packing, pii, quality_rules, substring_dedup, toxicity, url_filter
+from . import graph_ann, line_dedup, ngram_jaccard, packing, pii, quality_rules, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op8_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -43,7 +48,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_quality_rules, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op9_ngram_jaccard, op10_substring_dedup]
+    ops = [op1_quality_rules, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op8_graph_ann, op9_ngram_jaccard, op10_substring_dedup]
     return {f.__name__: f for f in ops}
 
 
