@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_ann, line_dedup, ngram_jaccard, packing, pii, quality_rules, substring_dedup, toxicity, url_filter
+from . import graph_ann, line_dedup, ngram_jaccard, packing, piece_codec, pii, quality_rules, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_quality_rules, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op8_graph_ann, op9_ngram_jaccard, op10_substring_dedup]
+    ops = [op1_quality_rules, op2_piece_codec, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op8_graph_ann, op9_ngram_jaccard, op10_substring_dedup]
     return {f.__name__: f for f in ops}
 
 
