@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -305,6 +306,12 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+@lru_cache(maxsize=1)
+def _codec(path: str) -> Codec:
+    """One codec a Python worker: its memory outlives a task."""
+    return Codec(path)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_sha256 and round_trip (decoding gives the text back) of every document."""
     if vocabulary is None:
@@ -314,7 +321,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, with_ids: b
     names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
 
     def run(batches):
-        codec = Codec(vocabulary)
+        codec = _codec(vocabulary)
         for b in batches:
             texts = b.column(1).to_pylist()
             n, crc, sha, same, every = [], [], [], [], []
