@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_ann, line_dedup, ngram_jaccard, packing, piece_codec, pii, quality_rules, substring_dedup, toxicity, url_filter
+from . import graph_ann, line_dedup, ngram_jaccard, oracles, packing, piece_codec, pii, quality_rules, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -57,4 +57,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": oracles.quality_rules(),
+        "op5_url_filters": oracles.url_filter(),
+        "op7_line_dedup": oracles.line_dedup(),
+        "op9_ngram_jaccard": oracles.ngram_jaccard(),
+        "op10_substring_dedup": oracles.substring_dedup(),
+    }
