@@ -2,8 +2,11 @@
 
 A document is a bag of sentences; p(document) = 1 - prod(1 - p(sentence)). Only document labels are known; the
 gradient of the bag's likelihood reaches the sentences through the noisy-or. A sentence's logit is a bias plus the
-weights of its words, and a word has hashed features: itself and its beginnings of 4 and 5 letters, which carry over
-to unseen endings. The fitted sentence model then also locates the offending sentences.
+weights of its words' features: the word itself and its beginnings of 4 and 5 letters, which carry over to unseen
+endings. Features are screened on the bags first: only those that occur in at least `LEAST_BAGS` toxic bags, there at
+least `LEAST_RATIO` times as often as in the others, and too often for chance (a log-likelihood ratio of
+`LEAST_EVIDENCE`), can get a weight, so nothing is learnt by heart from one bag.
+The fitted sentence model then also locates the offending sentences.
 
 The fit uses a bounded sample of labelled rows (`SAMPLE`), those of smallest hash, gathered on the driver, never rows
 whose crc32(doc_id as text) mod 4 is 2; everything else is one map over all whole texts.
@@ -15,26 +18,27 @@ columns are ignored.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 6000
-BITS = 18
+SAMPLE = 4000
+LEAST_BAGS = 3
+LEAST_RATIO = 8.0
+LEAST_EVIDENCE = 16.0
 LONGEST = 60  # words of a sentence without an end mark
 THRESHOLD = 0.3
 _EDGE = b".,;:!?\"'()[]{}|*#$%&<>-_"
 
 
-def word_features(word: bytes) -> list[int]:
-    """Hashed features of a lower-cased word without its punctuation."""
+def word_features(word: bytes) -> list[str]:
+    """Features of a lower-cased word without its punctuation."""
     text = word.strip(_EDGE).decode("utf-8", "replace")
-    if not text:
-        return []
-    names = [f"w:{text}"] + [f"{k}:{text[:k]}" for k in (4, 5) if len(text) >= k]
-    return [xxhash.xxh32_intdigest(n.encode()) & ((1 << BITS) - 1) for n in names]
+    return [f"w:{text}", *(f"{k}:{text[:k]}" for k in (4, 5) if len(text) >= k)] if text else []
 
 
 def sentence_starts(ends: np.ndarray) -> np.ndarray:
@@ -48,9 +52,9 @@ def sentence_starts(ends: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """weights by feature and a bias; `scored` remembers the weight of a bounded number of words."""
+    """Weights by feature, and a bias."""
 
-    def __init__(self, weights: np.ndarray, bias: float):
+    def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
     def scorer(self, limit: int = 400_000):
@@ -58,8 +62,7 @@ class Model:
 
         class Words(dict):
             def __missing__(self, word):
-                f = word_features(word)
-                v = float(weights[f].sum()) if f else 0.0
+                v = sum(weights.get(f, 0.0) for f in word_features(word))
                 # the end mark rides on the imaginary part: one lookup a word
                 v = complex(v, word.endswith(ends))
                 if len(self) >= limit:
@@ -82,10 +85,10 @@ class Model:
         return score
 
 
-def fit(texts: list[bytes], labels: list[int], steps: int = 150, rate: float = 0.15, decay: float = 2e-6) -> Model:
-    """Adam on the bags' likelihood; features that occur in a single bag are left out."""
+def fit(texts: list[bytes], labels: list[int], steps: int = 300, rate: float = 0.1, decay: float = 1e-5) -> Model:
+    """Adam on the bags' likelihood, over the screened features."""
     y = np.array(labels, np.float64)
-    zero = Model(np.zeros(1 << BITS, np.float32), -30.0)
+    zero = Model({}, -30.0)
     if not len(y) or y.min() == y.max():
         return zero
     ids: dict[bytes, int] = {}
@@ -94,8 +97,7 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 150, rate: float = 0
         parts = text.lower().split() if text else []
         if not parts:
             continue
-        ends = np.array([w[-1:] in (b".", b"!", b"?") for w in parts])
-        starts = sentence_starts(ends)
+        starts = sentence_starts(np.array([w[-1:] in (b".", b"!", b"?") for w in parts]))
         tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in parts), np.int64, len(parts)))
         sentence_of.append(n_sent + np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(parts)))))
         doc_of.append(np.full(len(starts), d))
@@ -103,35 +105,58 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 150, rate: float = 0
     if not tokens:
         return zero
     tokens, sentence_of, doc_of = map(np.concatenate, (tokens, sentence_of, doc_of))
-    feats = [word_features(w) for w in ids]
-    of_word = np.repeat(np.arange(len(ids)), [len(f) for f in feats])
-    flat = np.array([x for f in feats for x in f], np.int64)
-    pairs = np.unique((doc_of[sentence_of] << 32) | tokens)  # distinct words of a bag
-    by_word = np.bincount(pairs & 0xFFFFFFFF, minlength=len(ids))
-    rare = np.bincount(flat, weights=by_word[of_word], minlength=1 << BITS) < 2
-    size = 1 << BITS
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
-    bias, mb, vb = -5.0, 0.0, 0.0
-    share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    share /= share.sum()
-    # words and sentences as a count table, so that a word repeated in a sentence costs nothing more
-    key, count = np.unique((sentence_of << 32) | tokens, return_counts=True)
-    s_of, t_of = key >> 32, key & 0xFFFFFFFF
+    # features are numbered by hash, so that no table of their names is kept
+    size = np.zeros(len(ids), np.int64)
+    hashed = array("Q")
+    for i, w in enumerate(ids):
+        own = word_features(w)
+        size[i] = len(own)
+        hashed.extend(xxhash.xxh3_64_intdigest(f) for f in own)
+    hashes, flat = np.unique(np.frombuffer(hashed, np.uint64), return_inverse=True)
+    first, n_feats = np.concatenate([[0], np.cumsum(size)]), len(hashes)
+
+    def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in `words`, feature) for every feature of every word."""
+        n = size[words]
+        ends = np.cumsum(n)
+        return np.repeat(np.arange(len(words)), n), flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[words] - ends + n, n)]
+
+    in_bag = np.unique((doc_of[sentence_of] << 32) | tokens)
+    at, f = spread(in_bag & 0xFFFFFFFF)
+    in_bag = np.unique(((in_bag >> 32)[at] << 32) | f)
+    bag, f = in_bag >> 32, in_bag & 0xFFFFFFFF
+    pos, neg = np.bincount(f[y[bag] > 0], minlength=n_feats), np.bincount(f[y[bag] == 0], minlength=n_feats)
+    n_pos, n_neg = y.sum(), len(y) - y.sum()
+    good = (pos >= LEAST_BAGS) & ((pos + 0.5) / (n_pos + 1) >= LEAST_RATIO * (neg + 0.5) / (n_neg + 1))
+    both, rate_all = pos + neg, n_pos / len(y)
+    entropy = lambda k, n, q: np.where(k > 0, k * np.log(np.maximum(k, 1) / np.maximum(n * q, 1e-12)), 0.0)
+    good &= 2 * (entropy(pos, both, rate_all) + entropy(neg, both, 1 - rate_all)) >= LEAST_EVIDENCE
+    number = np.cumsum(good) - 1
+    # a table of how often a screened feature occurs in a sentence
+    at, f = spread(tokens)
+    ok = good[f]
+    key, count = np.unique((sentence_of[at[ok]] << 32) | number[f[ok]], return_counts=True)
+    s_of, f_of = key >> 32, key & 0xFFFFFFFF
+    k = int(good.sum())
+    if not k:
+        return zero
+    w, m, v = np.zeros(k), np.zeros(k), np.zeros(k)
+    bias, mb, vb = -6.0, 0.0, 0.0
+    share = 1 / len(y)
     for step in range(1, steps + 1):
-        word_w = np.bincount(of_word, weights=w[flat], minlength=len(ids))
-        z = np.bincount(s_of, weights=word_w[t_of] * count, minlength=n_sent) + bias
+        z = np.bincount(s_of, weights=w[f_of] * count, minlength=n_sent) + bias
         total = np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(y))
         slope = np.where(y > 0, -1 / np.expm1(np.clip(total, 1e-9, 50)), 1.0) * share
         g = slope[doc_of] / (1 + np.exp(-np.clip(z, -50, 50)))
-        gw = np.bincount(flat, weights=np.bincount(t_of, weights=g[s_of] * count, minlength=len(ids))[of_word], minlength=size) + decay * w
-        gw[rare] = 0
-        gb = g.sum()
+        gw, gb = np.bincount(f_of, weights=g[s_of] * count, minlength=k) + decay * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / a) / (np.sqrt(v / c) + 1e-7)
         bias -= rate * (mb / a) / (np.sqrt(vb / c) + 1e-7)
-    return Model(w.astype(np.float32), float(bias))
+    by_hash = dict(zip(hashes[good].tolist(), w.tolist(), strict=True))
+    named = {f: by_hash[h] for t in ids for f in word_features(t) if (h := xxhash.xxh3_64_intdigest(f)) in by_hash}
+    return Model(named, float(bias))
 
 
 def held_out():
