@@ -45,7 +45,7 @@ def stored(df: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """word bytes -> 64-bit hash; remembers at most `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

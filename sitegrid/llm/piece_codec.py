@@ -227,7 +227,7 @@ class Matcher:
 class Codec:
     """Texts to ids and back; remembers the ids of a bounded number of segments."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 350_000):
         self.pieces, self.limit = Pieces(path), limit
         self.matcher = Matcher(self.pieces)
         self.memory: dict[str, bytes] = {}

@@ -8,7 +8,7 @@ least `LEAST_RATIO` times as often as in the others, and too often for chance (a
 `LEAST_EVIDENCE`), can get a weight, so nothing is learnt by heart from one bag.
 The fitted sentence model then also locates the offending sentences.
 
-The fit uses a bounded sample of labelled rows (`SAMPLE`), those of smallest hash, gathered on the driver, never rows
+The fit uses a bounded sample of labelled rows (`SAMPLE`), those of smallest hash, gathered in one task, never rows
 whose crc32(doc_id as text) mod 4 is 2; everything else is one map over all whole texts.
 
 Defined cases: a null or empty text has no sentence and scores 0; a null doc_id is never in the sample and comes back
@@ -57,7 +57,7 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
 
-    def scorer(self, limit: int = 400_000):
+    def scorer(self, limit: int = 200_000):
         weights, ends = self.weights, (b".", b"!", b"?")
 
         class Words(dict):
@@ -168,8 +168,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows: the ids of smallest hash, picked from the labels alone."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id")
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id")
+
+    def run(batches):
+        got = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[1] or b""))
+        if got:
+            model = fit([r[1] for r in got], [int(r[2]) for r in got])
+            names = [*model.weights, ""]  # the bias has no name
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*model.weights.values(), model.bias], pa.float64())], ["feature", "weight"])
+
+    # the bounded sample meets in one task, so that the driver holds nothing but the weights
+    found = dict(map(tuple, rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(run, "feature string, weight double").collect()))
+    bias = found.pop("", -30.0)
+    return Model(found, bias)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: list[str] = ()) -> DataFrame:
