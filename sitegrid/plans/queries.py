@@ -605,3 +605,37 @@ def x1_sql_views(spark, sf):
     fn.register(spark)
     v.sites(spark, sf).createOrReplaceTempView("sites")
     return spark.sql("SELECT sample, chrom, sum(mc) AS mc, sum(cov) AS cov FROM sites WHERE revcomp('AC') = 'GT' AND safe_ratio(1, 0) = 0 GROUP BY sample, chrom")
+
+
+# Operators that are others by another name.
+
+
+@_op("SELECT chrom, start, stop, CAST(region_id AS DOUBLE)/2000 AS delta_beta FROM regions WHERE CAST(region_id AS DOUBLE)/2000 >= 0.3", "regions")
+def p12_delta_cutoff(spark, sf):
+    d = v.regions(spark, sf).select("chrom", "start", "stop", (F.col("region_id").cast("double") / 2000).alias("delta_beta"))
+    return d.where(F.col("delta_beta") >= 0.3)
+
+
+@_op(_SQL["v4_with_reference"])
+def j10_matrix_reference(spark, sf):
+    return v4_with_reference(spark, sf)
+
+
+@_op("SELECT g.chrom, g.region_id, min(r.id) AS id FROM regions g JOIN ref r ON r.chrom=g.chrom AND r.pos>=g.start GROUP BY ALL", "ref", "regions")
+def w4_forward_search(spark, sf):
+    return join.positions_to_ids(v.ref(spark, sf), v.regions(spark, sf), CHROM).select("chrom", "region_id", F.col("id_start").alias("id"))
+
+
+@_op(_SQL["i3_extract"])
+def i4_extract_cg(spark, sf):
+    return i3_extract(spark, sf)
+
+
+@_op("SELECT chrom, id, pos, mc, cov FROM total WHERE chrom='chr1'", "total")
+def o3_kept_order(spark, sf):
+    return select.where_dims(v.total(spark, sf).select("chrom", "id", "pos", "mc", "cov"), {"chrom": "chr1"}).sortWithinPartitions("id")
+
+
+@_op("SELECT * FROM (VALUES ('a', CAST(255 AS SMALLINT), 'xyz'), ('b', CAST(0 AS SMALLINT), 'q')) t(d, n, s)")
+def s4_frame_source(spark, sf):
+    return text.frame(spark, [("a", 300, "xyzzy"), ("b", -1, "q")], ["B", "3s"], ["n", "s"], ["d"])
