@@ -453,7 +453,7 @@ def w2_pair_index(spark, sf):
 def w3_runs(spark, sf):
     from ..streaming import runs
 
-    return runs(v.ref(spark, sf).where("pos <= 4000").select("pos", "chrom"), CHROM, "pos")
+    return runs(v.ref(spark, sf).select("pos", "chrom"), CHROM, "pos")
 
 
 @_op("SELECT chrom, pos, CAST(sum(n) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS cluster FROM (SELECT chrom, pos, CASE WHEN pos-lag(pos) OVER (PARTITION BY chrom ORDER BY pos)<=9 THEN 0 ELSE 1 END AS n FROM total WHERE cov>100)", "total")

@@ -28,9 +28,25 @@ def merged(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
 
 def runs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Adds `run`: the number of the run of equal keys, in the given order (gaps and islands)."""
+    """Adds `run`: the number of the run of equal keys, in the given order (gaps and islands).
+
+    Rows are sorted by range into blocks, cut at the shared folder, and runs are counted inside each block; a block
+    whose first keys equal the last ones of the block before goes on with its run. What is ordered in one task is one
+    row a block.
+    """
     from pyspark.sql import Window
 
-    along = Window.orderBy(order)
-    new = F.when(F.struct(*keys) == F.lag(F.struct(*keys)).over(along), 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
+    local, key = F.monotonically_increasing_id(), F.struct(*keys)
+    placed = df.repartitionByRange(order).sortWithinPartitions(order)
+    placed = placed.withColumn("_at", local.bitwiseAND(F.lit((1 << 33) - 1))).withColumn("_part", F.shiftright(local, 33)).checkpoint()
+    inside = Window.partitionBy("_part").orderBy("_at")
+    new = F.when(key == F.lag(key).over(inside), 0).otherwise(1)
+    counted = placed.withColumn("_new", new).withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = counted.groupBy("_part").agg(F.max("_run").alias("_n"), F.min_by(key, "_at").alias("_first"), F.max_by(key, "_at").alias("_last"))
+    along = Window.orderBy("_part")
+    blocks = blocks.withColumn("_goes_on", F.when(F.col("_first") == F.lag("_last").over(along), 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("_n") - F.col("_goes_on")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = blocks.select("_part", (before - F.col("_goes_on")).alias("_shift"))
+    return counted.join(shifts, "_part").select(*df.columns, (F.col("_run") + F.col("_shift")).cast("long").alias("run"))
