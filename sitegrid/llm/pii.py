@@ -140,8 +140,9 @@ _WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ _-]+at[ _-]+(?=[A-Za-z0-9-]+(?:\.[A-Za
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) *@ *(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus[ ]+(?=[0-9])", re.I)
 _DIGIT_GAP = re.compile(r"(?<=[0-9])(?:, ?| ?[/_] ?| {2,}| ?- ?)(?=[0-9])")
-# Signs of a disguise in lower-cased text; each pattern starts with plain characters, which are searched fast.
-_HINTS = [re.compile(p) for p in (r"\[[ \t]*(?:at|@|\.|dot)", r"\([ \t]*(?:at|@|\.|dot)", r"\{[ \t]*(?:at|@|\.|dot)", r"<[ \t]*(?:at|@|\.|dot)", r" at[ _-]+[a-z0-9-]+\.[a-z0-9]", r"_at[ _-]", r"-at[ _-]", r" @", r"@ ")]
+# Signs of a disguise in lower-cased text; most patterns start with plain characters, which are searched fast. The last
+# two take all that _SPACED_DOT and _DIGIT_GAP would change.
+_HINTS = [re.compile(p) for p in (r"\[[ \t]*(?:at|@|\.|dot)", r"\([ \t]*(?:at|@|\.|dot)", r"\{[ \t]*(?:at|@|\.|dot)", r"<[ \t]*(?:at|@|\.|dot)", r" at[ _-]+[a-z0-9-]+\.[a-z0-9]", r"_at[ _-]", r"-at[ _-]", r" @", r"@ ", r"[0-9](?: \. ?|\. )[0-9]", r"[0-9](?:, ?| ?[/_] ?| {2,}| ?- ?)[0-9]")]
 
 
 def has_hint(text: str) -> bool:
