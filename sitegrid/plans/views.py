@@ -91,7 +91,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en' and n_chars <= 2000")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 

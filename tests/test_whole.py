@@ -3,6 +3,7 @@
 import random
 
 import oracle
+import pytest
 from pyspark.sql import functions as F
 
 from sitegrid.plans import queries as q
@@ -33,3 +34,19 @@ def test_runs_go_past_any_position(spark, tmp_path):
     out = q.queries()["w3_runs"](spark, str(tmp_path))
     assert out.count() == 200
     assert oracle.difference(out, q.oracle_sql()["w3_runs"].replace(" WHERE pos<=4000", ""), con) == ""
+
+
+GENOME_CUT = " WHERE lang='en' AND n_chars<=2000"
+
+
+@pytest.mark.parametrize("name", ["s6_fasta", "i5_cytosines", "f1_context", "f2_revcomp"])
+def test_genome_takes_every_document(spark, tmp_path, name):
+    """Long texts and other languages, against the registered SQL without its filter."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("acgtACGT xyz") for _ in range(n)) for n in (0, 1, 2, 99, 100, 101, 1999, 2001, 5000)]
+    docs = [(i, t, "de" if i % 2 else "en", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    sql = q.oracle_sql()[name]
+    assert oracle.difference(q.queries()[name](spark, str(tmp_path)), sql.replace(GENOME_CUT, ""), con) == ""
