@@ -6,12 +6,11 @@ stage's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegrid.llm import line_dedup, ngram_jaccard, packing, pii, toxicity
-from sitegrid.llm.common import ensure_checkpoint_dir, table
+from sitegrid.llm.common import table
+from sitegrid.storage import new_folder, remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +46,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each one written to the shared folder and read again."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
+    root = new_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{root}/{k}_{name}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{k}_{name}")
+        if k:
+            remove(spark, f"{root}/{k - 1}_{STAGES[k - 1][0]}")
     return docs

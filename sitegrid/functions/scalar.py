@@ -79,30 +79,82 @@ def safe_ratio(mc: Column, cov: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def sig3(x: pd.Series) -> pd.Series:
-    """Three significant digits, rounded as C's %.3g does."""
-    return x.map(lambda v: float("%.3g" % v), na_action="ignore").astype("float64")
+    """Three significant digits, rounded as C's %.3g does; every different value of a batch is formatted once."""
+    codes, values = pd.factorize(x)
+    return pd.Series(np.append([float("%.3g" % v) for v in values], np.nan)[codes])
+
+
+#: Numbers up to which logarithms of factorials are looked up; beyond, Stirling's series is exact to the last digits.
+FACTORIALS = 1 << 16
+#: Cells of hypergeometric tables that are summed at once.
+CELLS = 1 << 21
 
 
 @lru_cache(maxsize=1)
-def _log_factorials(n: int) -> np.ndarray:
-    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1, dtype=np.float64)))])
+def _log_factorials() -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, FACTORIALS, dtype=np.float64)))])
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    n = np.asarray(n, np.int64)
+    small = _log_factorials()[np.minimum(n, FACTORIALS - 1)]
+    if not (n >= FACTORIALS).any():
+        return small
+    x = np.maximum(n, 1).astype(np.float64)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3)
+    return np.where(n >= FACTORIALS, series, small)
+
+
+def _log_p(k, row1, row2, col1):
+    """Log of the hypergeometric weight of k, without the part that all k share."""
+    return -log_factorial(k) - log_factorial(row1 - k) - log_factorial(col1 - k) - log_factorial(row2 - col1 + k)
+
+
+def _reach(low: int, high: int, row1: int, row2: int, col1: int) -> tuple[int, int]:
+    """The part of a wide support outside which weights are 0 in double precision; the weights have one peak."""
+    at = lambda k: float(_log_p(np.int64(k), row1, row2, col1))
+    mode = min(max((row1 + 1) * (col1 + 1) // (row1 + row2 + 2), low), high)
+    least = at(mode) - 746
+    ends = []
+    for end in (low, high):
+        inner, outer = mode, end
+        while abs(outer - inner) > 1:
+            mid = (inner + outer) // 2
+            inner, outer = (mid, outer) if at(mid) >= least else (inner, mid)
+        ends.append(outer)
+    return ends[0], ends[1]
 
 
 def fisher_exact(a, b, c, d) -> np.ndarray:
-    """Two-sided p of 2x2 tables: the sum of all tables with the same margins that are no likelier than the one seen."""
-    a, b, c, d = (np.asarray(v, np.int64) for v in (a, b, c, d))
-    out = np.full(len(a), np.nan)
-    total = a + b + c + d
-    if not len(a):
-        return out
-    lf = _log_factorials(1 << int(total.max() + 1).bit_length())
-    for i in range(len(a)):
-        row1, row2, col1 = a[i] + b[i], c[i] + d[i], a[i] + c[i]
-        k = np.arange(max(0, col1 - row2), min(row1, col1) + 1)
-        logp = lf[row1] + lf[row2] + lf[col1] + lf[total[i] - col1] - lf[total[i]] - lf[k] - lf[row1 - k] - lf[col1 - k] - lf[row2 - col1 + k]
-        p = np.exp(logp)
-        out[i] = min(1.0, p[p <= p[a[i] - k[0]] * (1 + 1e-7)].sum())
-    return out
+    """Two-sided p of 2x2 tables: the sum of all tables with the same margins that are no likelier than the one seen.
+
+    Different tables are computed once, many at a time; memory is bounded by CELLS and the widest reach of a table.
+    """
+    tables = np.stack([np.asarray(v, np.int64) for v in (a, b, c, d)], 1)
+    if not len(tables):
+        return np.empty(0)
+    tables, back = np.unique(tables, axis=0, return_inverse=True)
+    seen, row1, row2, col1 = tables[:, 0], tables[:, 0] + tables[:, 1], tables[:, 2] + tables[:, 3], tables[:, 0] + tables[:, 2]
+    low, high = np.maximum(0, col1 - row2), np.minimum(row1, col1)
+    for i in np.flatnonzero(high - low > FACTORIALS):
+        low[i], high[i] = _reach(*(int(v[i]) for v in (low, high, row1, row2, col1)))
+    size = high - low + 1
+    out = np.empty(len(tables))
+    at = 0
+    while at < len(tables):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at:]), CELLS, "right")))
+        own = slice(at, at + n)
+        starts = np.concatenate([[0], np.cumsum(size[own])[:-1]])
+        of = np.repeat(np.arange(at, at + n), size[own])
+        k = np.arange(len(of)) - starts[of - at] + low[of]
+        logp = _log_p(k, row1[of], row2[of], col1[of])
+        top = np.maximum.reduceat(logp, starts)
+        p = np.exp(logp - top[of - at])
+        mine = np.exp(_log_p(seen[own], row1[own], row2[own], col1[own]) - top)
+        counted = np.add.reduceat(np.where(p <= mine[of - at] * (1 + 1e-7), p, 0.0), starts)
+        out[own] = np.minimum(1.0, counted / np.add.reduceat(p, starts))
+        at += n
+    return out[back.ravel()]
 
 
 @F.pandas_udf(T.DoubleType())
@@ -137,6 +189,11 @@ def nearest_ten(x: float) -> int:
     return int(round(x / 3, -1))
 
 
+def nearest_tens(x: Column) -> Column:
+    """nearest_ten() of a column."""
+    return F.bround(x.cast("double") / 3, -1).cast("long")
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions usable from SQL."""
     spark.udf.register("sig3", sig3)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import saturate
+from ..model import ordinals
 from .join import by_id_intervals
 
 
@@ -64,8 +65,7 @@ def region_means(points: DataFrame, regions: DataFrame, dims: list[str], value:
 
 def strand_merge(df: DataFrame, dims: list[str], values: list[str], strict: bool = False) -> DataFrame:
     """Rows 2k-1 and 2k summed; an odd last row is dropped. strict: the pair must be neighbouring + and - positions."""
-    place = F.row_number().over(Window.partitionBy(*dims).orderBy("id"))
-    pairs = df.withColumn("_pair", F.floor((place - 1) / 2)).groupBy(*dims, "_pair")
+    pairs = ordinals(df, dims, "id", "_place").withColumn("_pair", F.floor((F.col("_place") - 1) / 2)).groupBy(*dims, "_pair")
     extra = [F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.min_by("strand", "pos").alias("_s"), F.max_by("strand", "pos").alias("_t")] if strict else []
     out = pairs.agg(F.count("*").alias("_n"), *(F.sum(v).alias(v) for v in values), *extra).where("_n = 2")
     if strict:
@@ -87,11 +87,8 @@ def extremes(m: DataFrame, keys: list[str], value: str, name: str = "sample", or
     """
     place = order if order is not None else F.col(name)
     bad = F.max(F.isnan(value))
-    low = F.min(F.struct(F.col(value).alias("v"), place.alias("o"), F.col(name).alias("n")))
-    rows = m.where(F.col(value).isNotNull())
-    top = Window.partitionBy(*keys).orderBy(F.desc(value), place)
-    best = F.max(F.when(F.col("_top") == 1, F.struct(F.col(value).alias("v"), F.col(name).alias("n"))))
-    out = rows.withColumn("_top", F.row_number().over(top)).groupBy(*keys).agg(low.alias("_l"), best.alias("_h"), bad.alias("_bad"))
+    least = lambda v: F.min(F.struct(v.alias("s"), place.alias("o"), F.col(name).alias("n"), F.col(value).alias("v")))
+    out = m.where(F.col(value).isNotNull()).groupBy(*keys).agg(least(F.col(value)).alias("_l"), least(-F.col(value)).alias("_h"), bad.alias("_bad"))
     nan = F.lit(float("nan"))
     return out.select(
         *keys, F.col("_l.n").alias("Hypo"), F.col("_h.n").alias("Hyper"), F.when(F.col("_bad"), nan).otherwise(F.col("_l.v")).alias("Min"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import nearest_ten
+from ..storage import stored
 from .aggregate import extremes, joined_names
 
 _NORMAL = NormalDist()
@@ -24,7 +25,8 @@ _NORMAL = NormalDist()
 
 def _score(p: np.ndarray) -> np.ndarray:
     """z of upper-tail p-values, which are kept off 0 and 1."""
-    return np.array([-_NORMAL.inv_cdf(x) for x in np.clip(p, 1e-16, 1 - 1e-12)])
+    values, back = np.unique(np.clip(p, 1e-16, 1 - 1e-12), return_inverse=True)
+    return np.array([-_NORMAL.inv_cdf(x) for x in values.tolist()])[back]
 
 
 @F.pandas_udf(T.DoubleType())
@@ -61,24 +63,44 @@ def combine(sites: DataFrame, acf: DataFrame, by: list[str], step: int, dist: in
 
     @F.pandas_udf(T.DoubleType())
     def stouffer(ps: pd.Series, zs: pd.Series, r: pd.Series) -> pd.Series:
-        out = np.empty(len(ps))
-        for i, (p, z, by_lag) in enumerate(zip(ps, zs, r, strict=True)):
-            out[i] = stouffer_liptak(np.asarray(p, float), np.asarray(z, float), by_lag if by_lag is not None else [0.0] * lags, step)
-        return pd.Series(out)
+        return pd.Series(stouffer_liptak_all(ps, zs, [v if v is not None else [0.0] * lags for v in r], step))
 
     by_lag = F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.coalesce(F.try_element_at(F.col("_acf"), k), F.lit(0.0)))
     out = rows.withColumn("combined_p", stouffer(F.col("_n.pos"), F.col("_n.z"), by_lag))
     return out.drop("_own", "_bin", "_n", "_acf")
 
 
-def stouffer_liptak(pos: np.ndarray, z: np.ndarray, by_lag, step: int) -> float:
-    """p of the sum of correlated scores."""
-    gap = np.abs(pos[:, None] - pos[None, :])
-    lag = np.maximum((gap - 1) // step, 0).astype(int)
-    r = np.asarray(by_lag, float)
-    sigma = np.where(lag < len(r), r[np.minimum(lag, len(r) - 1)], 0.0)
-    np.fill_diagonal(sigma, 1.0)
-    return 0.5 * math.erfc(z.sum() / math.sqrt(2 * max(sigma.sum(), 1e-12)))
+def stouffer_liptak_all(pos, z, by_lag, step: int) -> np.ndarray:
+    """stouffer_liptak() of many neighbourhoods at once.
+
+    All positions lie in one array, each neighbourhood behind the one before at a distance that no lag bridges; the
+    pairs up to a lag are then counted by one binary search for all positions, not looked at one by one.
+    """
+    sizes = np.fromiter(map(len, pos), np.int64, len(pos))
+    out = np.ones(len(pos))
+    own = np.flatnonzero(sizes)
+    if not len(own):
+        return out
+    sizes, starts = sizes[own], np.concatenate([[0], np.cumsum(sizes[own])[:-1]])
+    flat = np.concatenate([np.asarray(pos[k], np.int64) for k in own])
+    score = np.add.reduceat(np.concatenate([np.asarray(z[k], float) for k in own]), starts)
+    r = np.stack([np.asarray(by_lag[k], float) for k in own])
+    low = np.minimum.reduceat(flat, starts)
+    flat -= np.repeat(low, sizes)
+    apart = int(flat.max()) + r.shape[1] * step + 1
+    flat = np.sort(flat + np.repeat(np.arange(len(own)) * apart, sizes))
+    spread, before = sizes.astype(float), 0
+    for c in range(r.shape[1]):
+        within = np.add.reduceat(np.arange(len(flat)) - np.searchsorted(flat, flat - (c + 1) * step, "left"), starts)
+        spread += 2 * r[:, c] * (within - before)
+        before = within
+    out[own] = [0.5 * math.erfc(t / math.sqrt(2 * max(v, 1e-12))) for t, v in zip(score, spread, strict=True)]
+    return out
+
+
+def stouffer_liptak(pos, z, by_lag, step: int) -> float:
+    """p of the sum of correlated scores: their variances and, by distance, correlations add up to the sum's variance."""
+    return float(stouffer_liptak_all([pos], [z], [by_lag], step)[0])
 
 
 def adjust(rows: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
@@ -87,35 +109,48 @@ def adjust(rows: DataFrame, by: list[str], p: str, out: str) -> DataFrame:
     Ranks come from distinct p-values and their counts, so only those are sorted in one task per group.
     """
     times = rows.groupBy(*by, p).agg(F.count("*").alias("_k"))
-    up = Window.partitionBy(*by).orderBy(p)
-    rank = F.sum("_k").over(up.rowsBetween(Window.unboundedPreceding, 0))
+    so_far = lambda order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.sum("_k").over(so_far(F.asc(p)))
     raw = times.withColumn("_raw", F.col(p) * F.sum("_k").over(Window.partitionBy(*by)) / rank)
-    best = raw.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(up.rowsBetween(0, Window.unboundedFollowing)))).select(*by, p, out)
+    best = raw.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(so_far(F.desc(p))))).select(*by, p, out)
     return rows.join(best, [*by, p])
 
 
-def clusters(rows: DataFrame, by: list[str], dist: int) -> DataFrame:
-    """Adds `cluster`: rows at most `dist` after the one before belong together."""
-    order = Window.partitionBy(*by).orderBy("pos")
-    new = F.when(F.col("pos") - F.lag("pos").over(order) <= dist, 0).otherwise(1)
-    return rows.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+def clusters(rows: DataFrame, by: list[str], dist: int, width: int = 65_536) -> DataFrame:
+    """Adds `cluster`: rows at most `dist` after the one before belong together.
+
+    Clusters are counted inside blocks of positions; a block whose first row is near the last one of the block before
+    goes on with its cluster. What is ordered in one task is one row a block.
+    """
+    inside = Window.partitionBy(*by, "_b").orderBy("pos")
+    new = F.when(F.col("pos") - F.lag("pos").over(inside) <= dist, 0).otherwise(1)
+    counted = rows.withColumn("_b", F.floor(F.col("pos") / width)).withColumn("_new", new)
+    counted = counted.withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = counted.groupBy(*by, "_b").agg(F.max("_run").alias("_n"), F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    along = Window.partitionBy(*by).orderBy("_b")
+    blocks = blocks.withColumn("_on", F.when(F.col("_first") - F.lag("_last").over(along) <= dist, 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("_n") - F.col("_on")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = blocks.select(*by, "_b", (before - F.col("_on")).alias("_shift"))
+    return counted.join(shifts, [*by, "_b"]).select(*rows.columns, (F.col("_run") + F.col("_shift")).cast("long").alias("cluster"))
 
 
 def call_regions(sites: DataFrame, by: list[str], dist: int = 300, step: int | None = None, seed: float = 0.05) -> DataFrame:
     """(by, start, end, n_probes, min_p, z_p, z_sidak_p) from sites (by, pos, pval)."""
     step = step or max(nearest_ten(dist), 1)
-    z = sites.where("pval is not null").withColumn("z", z_score("pval"))
-    acf = autocorrelation(z, by, step, dist)
-    adjusted = adjust(combine(z, acf, by, step, dist), by, "combined_p", "q")
+    # scores and combined p-values are read by several branches each: made once, in the shared folder
+    z = stored(sites.where("pval is not null").select(*by, "pos", z_score("pval").alias("z")))
+    acf = stored(autocorrelation(z, by, step, dist))
+    combined = stored(combine(z, acf, by, step, dist).select(*by, "pos", "z", "combined_p"))
+    adjusted = adjust(combined, by, "combined_p", "q")
     groups = clusters(adjusted.where(F.col("q") <= seed), by, dist).groupBy(*by, "cluster")
     found = groups.agg(F.min("pos").alias("_a"), F.max("pos").alias("_b"), F.count("*").alias("n_probes"), F.min("q").alias("min_p"), F.sort_array(F.collect_list(F.struct("pos", "z"))).alias("_n"))
-    total = sites.groupBy(*by).agg(F.count("*").alias("_total"))
+    total = z.groupBy(*by).agg(F.count("*").alias("_total"))
     table = acf.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("lag", "r"))).alias("_acf"))
     lags = -(-dist // step)
 
     @F.pandas_udf(T.DoubleType())
     def region_p(ps: pd.Series, zs: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([stouffer_liptak(np.asarray(p, float), np.asarray(v, float), c, step) for p, v, c in zip(ps, zs, r, strict=True)])
+        return pd.Series(stouffer_liptak_all(ps, zs, [v if v is not None else [0.0] * lags for v in r], step))
 
     by_lag = F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.coalesce(F.try_element_at(F.col("_acf"), k), F.lit(0.0)))
     out = found.join(total, by).join(table, by, "left").withColumn("z_p", region_p(F.col("_n.pos"), F.col("_n.z"), by_lag))

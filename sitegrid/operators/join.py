@@ -30,11 +30,24 @@ def align(ref: DataFrame, m: DataFrame, on: list[str], fill: dict[str, object])
     return out
 
 
+#: Bin widths of interval joins grow by this factor from level to level.
+LEVEL = 16
+
+
 def points_in_intervals(points: DataFrame, regions: DataFrame, dims: list[str], pos: str, start: str, end: str, width: int = 1024) -> DataFrame:
-    """All (point, region) with start <= pos <= end; a point comes once for each region that holds it."""
-    binned = points.withColumn("_bin", F.floor(F.col(pos) / width))
-    spread = regions.where(F.col(start) <= F.col(end)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return binned.join(spread, [*dims, "_bin"]).where(F.col(pos).between(F.col(start), F.col(end))).drop("_bin")
+    """All (point, region) with start <= pos <= end; a point comes once for each region that holds it.
+
+    An interval goes to the bins of one level, chosen by its length so that it touches at most LEVEL + 1 of them; a
+    point is looked up once on every level that has intervals. So a long interval isn't copied to many small bins.
+    """
+    length = F.col(end) - F.col(start)
+    level = F.greatest(F.ceil(F.log(float(LEVEL), F.greatest(length, F.lit(1)) / (width * LEVEL))), F.lit(0)).cast("int")
+    bin_width = F.lit(width) * F.pow(F.lit(float(LEVEL)), F.col("_level")).cast("long")
+    spread = regions.where(F.col(start) <= F.col(end)).withColumn("_level", level)
+    spread = spread.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / bin_width), F.floor(F.col(end) / bin_width))))
+    used = spread.agg(F.collect_set("_level")).scalar()  # a few numbers
+    binned = points.withColumn("_levels", used).withColumn("_level", F.explode("_levels")).drop("_levels").withColumn("_bin", F.floor(F.col(pos) / bin_width))
+    return binned.join(spread, [*dims, "_level", "_bin"]).where(F.col(pos).between(F.col(start), F.col(end))).drop("_bin", "_level")
 
 
 def by_ids(df: DataFrame, ids: DataFrame, dims: list[str]) -> DataFrame:
@@ -73,12 +86,15 @@ def positions_to_ids(ref: DataFrame, regions: DataFrame, dims: list[str], pos: s
     ends = ends.select(*dims, F.col("_e._p").alias("_p"), block("_e._p"), F.lit(None).cast("long").alias("_id"), F.col("_e._kind").alias("_kind"), "_r")
     both = rows.withColumn("_r", F.lit(None).cast(ends.schema["_r"].dataType)).unionByName(ends)
     # at one position a row is ahead of a boundary, and behind it too
-    at = Window.partitionBy(*dims, "_b").orderBy("_p")
-    both = both.withColumn("_ahead", F.min("_id").over(at.rangeBetween(0, Window.unboundedFollowing))).withColumn("_behind", F.max("_id").over(at.rangeBetween(Window.unboundedPreceding, 0)))
-    along = Window.partitionBy(*dims).orderBy("_b")
+    # what follows is what precedes in descending order: a frame that only grows costs one step a row
+    at = Window.partitionBy(*dims, "_b")
+    so_far = lambda order: at.orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_ahead", F.min("_id").over(so_far(F.desc("_p")))).withColumn("_behind", F.max("_id").over(so_far(F.asc("_p"))))
+    along = Window.partitionBy(*dims)
+    others = lambda order: along.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     blocks = both.groupBy(*dims, "_b").agg(F.min("_id").alias("_first"), F.max("_id").alias("_final"))
-    blocks = blocks.withColumn("_next", F.min("_first").over(along.rowsBetween(1, Window.unboundedFollowing))).withColumn("_prev", F.max("_final").over(along.rowsBetween(Window.unboundedPreceding, -1)))
-    blocks = blocks.withColumn("_last", F.max("_final").over(Window.partitionBy(*dims))).select(*dims, "_b", "_next", "_prev", "_last")
+    blocks = blocks.withColumn("_next", F.min("_first").over(others(F.desc("_b")))).withColumn("_prev", F.max("_final").over(others(F.asc("_b"))))
+    blocks = blocks.withColumn("_last", F.max("_final").over(along)).select(*dims, "_b", "_next", "_prev", "_last")
     seen = both.where("_r is not null").join(blocks, [*dims, "_b"]).withColumn("_ahead", F.coalesce("_ahead", "_next")).withColumn("_behind", F.coalesce("_behind", "_prev"))
     final = F.coalesce("_ahead", "_last") if boundary == "overshoot" else F.col("_behind")
     one = seen.groupBy(*dims, "_r").agg(F.max(F.when(F.col("_kind") == 0, F.col("_ahead"))).alias("id_start"), F.max(F.when(F.col("_kind") == 2, final)).alias("id_end"))
@@ -89,6 +105,12 @@ def positions_to_ids(ref: DataFrame, regions: DataFrame, dims: list[str], pos: s
     return many.select(*dims, "_r.*", "id_start", "id_end")
 
 
+def first_at_or_after(ref: DataFrame, points: DataFrame, dims: list[str], pos: str = "pos", **more) -> DataFrame:
+    """Points with the id of the first reference row at or after each; points behind all rows are left out."""
+    ends = points.withColumn("_stop", F.col(pos))
+    return positions_to_ids(ref, ends, dims, start=pos, stop="_stop", **more).drop("_stop", "id_end").withColumnRenamed("id_start", "id")
+
+
 def with_class(df: DataFrame, classes: DataFrame, key: str = "sample") -> DataFrame:
     """Rows of the classified samples with their class."""
     return df.join(classes, key)

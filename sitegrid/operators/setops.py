@@ -23,9 +23,11 @@ def concat(frames: dict[str, DataFrame], order: list[str] | None = None, title:
     return reduce(DataFrame.unionByName, tagged)
 
 
-def with_file_name(df: DataFrame, title: str = "filename", ext: str = "") -> DataFrame:
-    """The source file's name without folder and extension as a last dimension."""
-    return df.withColumn(title, sample_name(F.input_file_name(), ext))
+def with_file_name(df: DataFrame, title: str = "filename", ext: str = "", folder: bool = False) -> DataFrame:
+    """The source file's name without folder and extension as a last dimension; folder: that of the folder it lies in,
+    for tables of several part files."""
+    path = F.input_file_name()
+    return df.withColumn(title, sample_name(F.regexp_replace(path, "/[^/]*$", "") if folder else path, ext))
 
 
 def concat_dmrs(dmrs: dict[str, DataFrame], drop: tuple[str, ...] = ("min_p", "z_p", "z_sidak_p")) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import functions as fn
 from .. import model
 from ..operators import aggregate, dmr, index, join, matrix, select, setops
-from ..sources import text
+from ..sources import blocks, text
 from . import views as v
 from .views import CHROMS, SAMPLES, scratch, with_ctes
 
@@ -410,9 +411,10 @@ def v3_fisher(spark, sf):
     return matrix.fisher_long(v.m(spark, sf), SITE).withColumn("pval", F.round("pval", 9))
 
 
-@_op()
+@_op("SELECT chrom, id, " + ", ".join(f"max(CASE WHEN sample='{s}' THEN odd_ratio END) AS \"{s}.odd_ratio\", max(CASE WHEN sample='{s}' THEN pval END) AS \"{s}.pval\"" for s in SAMPLES) + f" FROM ({_FISHER}) GROUP BY chrom, id", "m")
 def v3_fisher_matrix(spark, sf):
-    return matrix.fisher(v.m(spark, sf), SITE, SAMPLES)
+    wide = matrix.fisher(v.m(spark, sf), SITE, SAMPLES, rounded=False)
+    return wide.select(*SITE, *(x for s in SAMPLES for x in (F.col(f"`{s}.odd_ratio`"), F.round(F.col(f"`{s}.pval`"), 9).alias(f"{s}.pval"))))
 
 
 @_op("SELECT r.chrom, r.pos-1 AS start, r.pos, r.strand, r.context, x.* EXCLUDE (chrom, id) FROM ref r JOIN (SELECT chrom, id, " + _pivot_sql("mc", ".mc") + " FROM m GROUP BY chrom, id) x USING (chrom, id)", "m")
@@ -423,7 +425,7 @@ def v4_with_reference(spark, sf):
 
 @_op("SELECT sample, row_number() OVER (ORDER BY sample)-1 AS place FROM (SELECT DISTINCT sample FROM sites)", "sites")
 def v5_sample_order(spark, sf):
-    return spark.createDataFrame(list(zip(matrix.sample_names(v.sites(spark, sf)), range(7), strict=True)), "sample string, place long")
+    return spark.createDataFrame([(s, k) for k, s in enumerate(matrix.sample_names(v.sites(spark, sf)))], "sample string, place long")
 
 
 _UNPIVOT = "SELECT s.sample, k.chrom, k.id, coalesce(f.pval, 1.0) AS pval, f.odd_ratio FROM (SELECT DISTINCT chrom, id FROM m) k CROSS JOIN (SELECT DISTINCT sample FROM m) s LEFT JOIN (SELECT sample, chrom, id, CASE WHEN coalesce(CAST(mc*2 AS DOUBLE)/cov,1)>=1 THEN 1.0 ELSE CAST(mc AS DOUBLE)/cov END AS pval, CAST(mc*2 AS DOUBLE)/cov AS odd_ratio FROM m) f USING (sample, chrom, id)"
@@ -449,16 +451,16 @@ def w2_pair_index(spark, sf):
     return v.ref(spark, sf).select("chrom", "id", F.floor((F.col("id") - 1) / 2).cast("long").alias("pair"))
 
 
-@_op("SELECT pos, chrom, CAST(sum(n) OVER (ORDER BY pos) AS BIGINT) AS run FROM (SELECT pos, chrom, CASE WHEN chrom=lag(chrom) OVER (ORDER BY pos) THEN 0 ELSE 1 END AS n FROM ref WHERE pos<=4000)", "ref")
+@_op("SELECT pos, chrom, CAST(sum(n) OVER (ORDER BY pos) AS BIGINT) AS run FROM (SELECT pos, chrom, CASE WHEN chrom=lag(chrom) OVER (ORDER BY pos) THEN 0 ELSE 1 END AS n FROM ref)", "ref")
 def w3_runs(spark, sf):
     from ..streaming import runs
 
     return runs(v.ref(spark, sf).select("pos", "chrom"), CHROM, "pos")
 
 
-@_op("SELECT chrom, pos, CAST(sum(n) OVER (PARTITION BY chrom ORDER BY pos) AS BIGINT) AS cluster FROM (SELECT chrom, pos, CASE WHEN pos-lag(pos) OVER (PARTITION BY chrom ORDER BY pos)<=9 THEN 0 ELSE 1 END AS n FROM total WHERE cov>100)", "total")
+@_op("SELECT sample, chrom, pos, CAST(sum(n) OVER (PARTITION BY sample, chrom ORDER BY pos) AS BIGINT) AS cluster FROM (SELECT sample, chrom, pos, CASE WHEN pos-lag(pos) OVER (PARTITION BY sample, chrom ORDER BY pos)<=9 THEN 0 ELSE 1 END AS n FROM m)", "m")
 def w5_clusters(spark, sf):
-    return dmr.clusters(v.total(spark, sf).where("cov > 100").select("chrom", "pos"), CHROM, 9)
+    return dmr.clusters(v.m(spark, sf).select("sample", "chrom", "pos"), ["sample", "chrom"], 9, 500)
 
 
 @_op("SELECT chrom, id, pos FROM ref WHERE chrom IN ('chr3','chr1','chr5')", "ref")
@@ -490,15 +492,13 @@ def u2_concat_named(spark, sf):
     return setops.concat({k: select.where_dims(s, {"sample": k}).drop("sample") for k in SAMPLES}, title="cell", name=lambda n: f"cell_{n}")
 
 
-@_op("SELECT chrom, pos, mc, cov, sample AS filename FROM sites WHERE sample<='s3'", "sites")
+@_op("SELECT chrom, pos, mc, cov, sample AS filename FROM sites", "sites")
 def u2_file_names(spark, sf):
     path = scratch(spark, "u2")
-    names = {}
-    for k in SAMPLES[:3]:
-        folder = f"{path}/{k}"
-        select.where_dims(v.sites(spark, sf), {"sample": k}).drop("sample").write.parquet(folder)
-        names[k] = setops.with_file_name(spark.read.parquet(folder)).withColumn("filename", F.regexp_extract(F.input_file_name(), "([^/]*)/[^/]*$", 1))
-    return setops.concat(names)
+    v.sites(spark, sf).write.partitionBy("sample").parquet(path)
+    parts = {k: spark.read.parquet(f"{path}/sample={k}") for k in SAMPLES}
+    named = {k: setops.with_file_name(d, folder=True, ext="") for k, d in parts.items()}
+    return setops.concat(named).withColumn("filename", F.regexp_replace("filename", "^sample=", ""))
 
 
 @_op("SELECT chrom, start, stop, n_dms, sname FROM dmr", "dmr")
@@ -515,9 +515,18 @@ def i1_subset_index(spark, sf):
     return index.subset_index(v.ref(spark, sf), CHROM, "+CGN")
 
 
-@_op("SELECT * FROM idx", "idx")
+_BED = "bed AS (SELECT concat('chr', CAST(c_custkey%6+1 AS VARCHAR)) AS chrom, c_custkey*11 AS start, c_custkey*11+c_nationkey*40 AS stop, c_name AS name FROM customer)"
+
+
+@_op(
+    f"SELECT * FROM (SELECT g.*, (SELECT min(r.id) FROM ref r WHERE r.chrom=g.chrom AND r.pos>=g.start) AS id_start, coalesce((SELECT min(r.id) FROM ref r WHERE r.chrom=g.chrom AND r.pos>=g.stop), (SELECT max(r.id) FROM ref r WHERE r.chrom=g.chrom)) AS id_end FROM ({_BED.removeprefix('bed AS (').removesuffix(')')}) g) WHERE id_start IS NOT NULL",
+    "ref",
+)
 def i2_region_index(spark, sf):
-    return index.region_index(v.ref(spark, sf), v.regions(spark, sf), CHROM)
+    """Named regions, among them those of a chromosome that the reference lacks and those past its last row."""
+    k = F.col("c_custkey")
+    bed = v.table(spark, sf, "customer").select(F.concat(F.lit("chr"), (k % 6 + 1).cast("string")).alias("chrom"), (k * 11).alias("start"), (k * 11 + F.col("c_nationkey") * 40).alias("stop"), F.col("c_name").alias("name"))
+    return index.region_index(v.ref(spark, sf), bed, CHROM, width=1000)
 
 
 @_op("SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY id) AS id, mc, cov FROM total WHERE starts_with(context,'CG')", "total")
@@ -536,11 +545,14 @@ def i5_cytosines(spark, sf):
 # Functions.
 
 
-@_op(f"SELECT chrom, i AS pos, {_CONTEXT.replace('c=', 'substr(seq, i, 1)=')} AS context FROM (SELECT chrom, seq, least(greatest(length(seq)//2, 1), 5) AS i FROM genome WHERE seq<>'')", "genome")
+@_op(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n, context, CAST(sum(i) AS BIGINT) AS positions FROM (SELECT doc_id, i, {_CONTEXT} AS context FROM (SELECT *, substr(seq, i, 1) AS c FROM (SELECT doc_id, seq, unnest(range(1, length(seq)+1)) AS i FROM genome)) WHERE c IN ('C','G')) GROUP BY doc_id, context", "genome")
 def f1_context(spark, sf):
-    i = F.least(F.greatest(F.floor(F.length("seq") / 2), F.lit(1)), F.lit(5)).cast("int")
-    strand = F.when(F.substring(F.col("seq"), i, F.lit(1)) == "C", "+").otherwise("-")
-    return v.genome(spark, sf).where("seq <> ''").select("chrom", i.cast("long").alias("pos"), fn.context3(F.col("seq"), i, strand).alias("context"))
+    """The context of every C and G of every sequence, counted by document."""
+    raw = v.genome(spark, sf).select("doc_id", F.col("seq").cast("binary").alias("q"), F.posexplode(F.split("seq", "")).alias("i", "c")).where("c in ('C', 'G')")
+    near = F.substring(F.col("q"), F.greatest(F.col("i") - 1, F.lit(1)), F.least(F.col("i") + 3, F.lit(5))).cast("string")  # two letters to either side
+    strand = F.when(F.col("c") == "C", "+").otherwise("-")
+    at = raw.select("doc_id", "i", fn.context3(near, F.least(F.col("i") + 1, F.lit(3)), strand).alias("context"))
+    return at.groupBy("doc_id", "context").agg(F.count("*").alias("n"), F.sum(F.col("i") + 1).alias("positions"))
 
 
 @_op("SELECT doc_id, translate(reverse(seq),'ACGT','TGCA') AS rc FROM genome", "genome")
@@ -579,13 +591,22 @@ def f10_casts(spark, sf):
 # Statistics.
 
 
+def _planted(spark, sf):
+    """p-values of all sites: small ones in planted regions, even ones made from the counts elsewhere."""
+    even = (F.expr("(mc * 7919 + cov * 104729 + pos * 31) % 997").cast("double") + 0.5) / 997
+    return v.m(spark, sf).select("sample", "chrom", "pos", F.when(F.col("pos") % 3000 < 160, F.lit(1e-5) * (F.col("pos") % 7 + 1)).otherwise(even).alias("pval"))
+
+
 @_op()
 def d1_call_regions(spark, sf):
-    """Every sample's one-against-rest p-values, masked, combined along each chrom, called and filtered."""
-    p = matrix.fisher_long(v.m(spark, sf), [*SITE, "pos"])
-    rows = select.mask_unless_below(p).select("sample", "chrom", "pos", "pval")
-    called = dmr.call_regions(rows, ["sample", "chrom"], dist=300)
-    return dmr.significant(called, 1.0)
+    """p-values of every sample combined along each chrom, called and filtered; the planted regions must come out."""
+    return dmr.significant(dmr.call_regions(_planted(spark, sf), ["sample", "chrom"], dist=300))
+
+
+@_op(f"SELECT sample, chrom, pos, round(least(1.0, min(pval*n/k) OVER (PARTITION BY sample, chrom ORDER BY pval DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 12) AS q FROM (SELECT *, count(*) OVER (PARTITION BY sample, chrom ORDER BY pval) AS k, count(*) OVER (PARTITION BY sample, chrom) AS n FROM (SELECT sample, chrom, pos, CASE WHEN pos%3000<160 THEN 1e-5*(1+pos%7) ELSE ((mc*7919+cov*104729+pos*31)%997+0.5)/997 END AS pval FROM m))", "m")
+def d2_adjusted(spark, sf):
+    """Benjamini-Hochberg over every sample and chrom."""
+    return dmr.adjust(_planted(spark, sf), ["sample", "chrom"], "pval", "q").select("sample", "chrom", "pos", F.round("q", 12).alias("q"))
 
 
 @_op(
@@ -599,36 +620,54 @@ def d3_annotate(spark, sf):
     return out.withColumn("delta_beta", F.round("delta_beta", 9)).where("delta_beta >= 0.3")
 
 
-@_op("SELECT sample, chrom, CAST(sum(mc) AS BIGINT) AS mc, CAST(sum(cov) AS BIGINT) AS cov FROM sites GROUP BY ALL", "sites")
-def x1_sql_views(spark, sf):
-    """The operators' tables and functions used from spark.sql."""
-    fn.register(spark)
-    v.sites(spark, sf).createOrReplaceTempView("sites")
-    return spark.sql("SELECT sample, chrom, sum(mc) AS mc, sum(cov) AS cov FROM sites WHERE revcomp('AC') = 'GT' AND safe_ratio(1, 0) = 0 GROUP BY sample, chrom")
+# Hooks, and the functions in SQL.
+
+
+@_op("SELECT chrom, id FROM ref WHERE context='CHN' AND strand='-' UNION ALL SELECT chrom, id FROM ref WHERE pos%10=1", "ref")
+def x1_row_predicate(spark, sf):
+    """Subset indexes by a predicate: a column, and a callable."""
+    r = v.ref(spark, sf)
+    by_column = index.subset_index(r, CHROM, match=(F.col("context") == "CHN") & (F.col("strand") == "-"))
+    return by_column.unionByName(index.subset_index(r, CHROM, match=lambda d: d.where("pos % 10 = 1")))
 
 
-# Operators that are others by another name.
+@_op(
+    "SELECT sample, chrom, id, translate(reverse(context),'ACGTN','TGCAN') AS rc, CASE WHEN cov=0 THEN 0.0 ELSE CAST(mc AS DOUBLE)/cov END AS f, CASE WHEN (cov-mc)*7<>0 THEN CAST(mc*5 AS DOUBLE)/((cov-mc)*7) WHEN mc*5<>0 THEN CAST('inf' AS DOUBLE) END AS o FROM (SELECT * REPLACE (replace(context,'H','C') AS context) FROM m)",
+    "m",
+)
+def x1_sql_functions(spark, sf):
+    """The functions used from spark.sql."""
+    fn.register(spark)
+    v.m(spark, sf).createOrReplaceTempView("site_rows")
+    return spark.sql("SELECT sample, chrom, id, revcomp(replace(context, 'H', 'C')) AS rc, safe_ratio(mc, cov) AS f, odds_ratio(mc, cov - mc, 7, 5) AS o FROM site_rows")
 
 
-@_op("SELECT chrom, start, stop, CAST(region_id AS DOUBLE)/2000 AS delta_beta FROM regions WHERE CAST(region_id AS DOUBLE)/2000 >= 0.3", "regions")
+@_op(
+    'SELECT * FROM (SELECT chrom, start, stop, arg_min(sample, (b, sample)) AS "Hypo", arg_max(sample, (b, -CAST(substr(sample,2) AS INTEGER))) AS "Hyper", max(b)-min(b) AS delta_beta FROM (SELECT *, round(beta, 3) AS b FROM beta) GROUP BY ALL) WHERE delta_beta >= 0.4',
+    "beta",
+)
 def p12_delta_cutoff(spark, sf):
-    d = v.regions(spark, sf).select("chrom", "start", "stop", (F.col("region_id").cast("double") / 2000).alias("delta_beta"))
-    return d.where(F.col("delta_beta") >= 0.3)
+    b = _beta(spark, sf).withColumn("beta", F.round("beta", 3))
+    out = dmr.annotate(b, v.dmr(spark, sf), ["chrom", "start", "stop"], cutoff=0.4)
+    return out.select("chrom", "start", "stop", "Hypo", "Hyper", "delta_beta")
 
 
-@_op(_SQL["v4_with_reference"])
+@_op(f"SELECT r.chrom, r.pos-1 AS start, r.pos, r.strand, r.context, x.* EXCLUDE (chrom, id) FROM ref r JOIN (SELECT chrom, id, {_pivot_sql('CASE WHEN cov=0 THEN 0.0 ELSE CAST(mc AS DOUBLE)/cov END')} FROM m GROUP BY chrom, id) x USING (chrom, id)", "m")
 def j10_matrix_reference(spark, sf):
-    return v4_with_reference(spark, sf)
+    return matrix.with_reference(matrix.fraction(v.m(spark, sf), SITE, SAMPLES, rounded=False), v.ref(spark, sf), CHROM)
 
 
-@_op("SELECT g.chrom, g.region_id, min(r.id) AS id FROM regions g JOIN ref r ON r.chrom=g.chrom AND r.pos>=g.start GROUP BY ALL", "ref", "regions")
+@_op("SELECT p.chrom, p.pos, p.c_custkey, min(r.id) AS id FROM (SELECT concat('chr', CAST(c_custkey%5+1 AS VARCHAR)) AS chrom, c_custkey*13 AS pos, c_custkey FROM customer) p JOIN ref r ON r.chrom=p.chrom AND r.pos>=p.pos GROUP BY ALL", "ref")
 def w4_forward_search(spark, sf):
-    return join.positions_to_ids(v.ref(spark, sf), v.regions(spark, sf), CHROM).select("chrom", "region_id", F.col("id_start").alias("id"))
+    k = F.col("c_custkey")
+    points = v.table(spark, sf, "customer").select(F.concat(F.lit("chr"), (k % 5 + 1).cast("string")).alias("chrom"), (k * 13).alias("pos"), "c_custkey")
+    return join.first_at_or_after(v.ref(spark, sf), points, CHROM, width=2000)
 
 
-@_op(_SQL["i3_extract"])
+@_op("SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY id) AS id, pos, strand, mc, cov FROM total WHERE starts_with(context,'CG') AND strand='+'", "total")
 def i4_extract_cg(spark, sf):
-    return i3_extract(spark, sf)
+    t = v.total(spark, sf)
+    return index.extract(t.select("chrom", "id", "pos", "strand", "mc", "cov"), index.subset_index(t, CHROM, "+CGN"), CHROM)
 
 
 @_op("SELECT chrom, id, pos, mc, cov FROM total WHERE chrom='chr1'", "total")
@@ -636,6 +675,99 @@ def o3_kept_order(spark, sf):
     return select.where_dims(v.total(spark, sf).select("chrom", "id", "pos", "mc", "cov"), {"chrom": "chr1"}).sortWithinPartitions("id")
 
 
-@_op("SELECT * FROM (VALUES ('a', CAST(255 AS SMALLINT), 'xyz'), ('b', CAST(0 AS SMALLINT), 'q')) t(d, n, s)")
+@_op("SELECT r_name AS region, CAST(least(n_nationkey*30, 255) AS SMALLINT) AS n, substr(n_name, 1, 3) AS s FROM nation JOIN region ON n_regionkey=r_regionkey")
 def s4_frame_source(spark, sf):
-    return text.frame(spark, [("a", 300, "xyzzy"), ("b", -1, "q")], ["B", "3s"], ["n", "s"], ["d"])
+    """A pandas frame in memory, keyed by a column of it."""
+    both = v.table(spark, sf, "nation").join(v.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    pdf = both.select(F.col("r_name").alias("region"), (F.col("n_nationkey") * 30).alias("n"), F.col("n_name").alias("s")).toPandas()
+    return text.frame(spark, pdf, ["B", "3s"], ["n", "s"], ["region"])
+
+
+# Chunks in memory, streams, and the block format.
+
+
+@_op("SELECT c_custkey, CAST(least(c_nationkey*20, 255) AS SMALLINT) AS nation, substr(c_mktsegment, 1, 4) AS segment, substr(c_mktsegment, 1, 4) AS name FROM customer")
+def s3_stream_source(spark, sf):
+    """Text that comes over a stream, as K3 writes it."""
+    stream = io.StringIO()
+    text.to_stream(v.table(spark, sf, "customer").select("c_mktsegment", "c_custkey", (F.col("c_nationkey") * 20).alias("nation"), F.col("c_mktsegment").alias("name")), stream, header=False)
+    stream.seek(0)
+    rows = text.from_stream(spark, ["segment", "c_custkey", "nation", "name"], {"segment": "4s", "c_custkey": "Q", "nation": "B", "name": "4s"}, stream)
+    return rows.select("c_custkey", "nation", "segment", "name")
+
+
+@_op("SELECT chrom, (id-1)//700 AS batch, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM ref GROUP BY ALL", "ref")
+def s10_batches(spark, sf):
+    return text.batches(v.ref(spark, sf), 700).groupBy("chrom", "batch").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@_op("SELECT chrom, id, pos, strand, (id-1)//400 AS part FROM ref WHERE chrom='chr3'", "ref")
+def s11_local_frame(spark, sf):
+    """One chunk as pandas frames, batch by batch, and as one frame; they must be the same."""
+    import pandas as pd
+
+    rows = v.ref(spark, sf).select("chrom", "id", "pos", "strand")
+    whole, parts = text.to_frame(rows, {"chrom": "chr3"}), list(text.local_batches(rows, {"chrom": "chr3"}, 400))
+    joined = pd.concat([p.assign(part=k) for k, p in enumerate(parts)], ignore_index=True)
+    assert joined.drop(columns="part").equals(whole)
+    return spark.createDataFrame(joined, "chrom string, id long, pos long, strand string, part long")
+
+
+_FORMATS = {"formats": "Q,c,3s,H", "columns": "pos,strand,context,mc", "dims": "chrom"}
+
+
+def _block_folder(spark, sf, name):
+    """The reference with its summed counts as files of the block format; None where the folder isn't a mounted one."""
+    path = scratch(spark, name)
+    blocks.register(spark)
+    rows = v.total(spark, sf).select("chrom", "id", "pos", "strand", "context", F.least("mc", F.lit(65535)).cast("int").alias("mc"))
+    rows.repartition("chrom").sortWithinPartitions("chrom", "id").drop("id").write.format("keyed_blocks").options(**_FORMATS).mode("append").save(path)
+    return path
+
+
+@_op("SELECT chrom, id, pos, strand, context, CAST(least(mc, 65535) AS INTEGER) AS mc FROM total WHERE chrom IN ('chr2', 'chr5')", "total")
+def s9_k2_block_format(spark, sf):
+    """Written as chunks of the block format and read back, with the filter on the dimension pushed to the chunks."""
+    path = _block_folder(spark, sf, "s9")
+    read = lambda c: spark.read.format("keyed_blocks").load(path).where(F.col("chrom") == c)
+    return read("chr2").unionByName(read("chr5"))
+
+
+@_op("SELECT chrom, count(*) AS nrows, (count(*)*14+65534)//65535 AS nblocks FROM total GROUP BY chrom", "total")
+def s12_s14_block_metadata(spark, sf):
+    """Chunks of block files from their headers and tails alone."""
+    return blocks.chunk_table(spark, _block_folder(spark, sf, "s12")).select("chrom", "nrows", "nblocks")
+
+
+@_op("SELECT chrom, k+1 AS block, (k*65535+13)//14+1 AS first_id FROM (SELECT chrom, unnest(range((count(*)*14+65534)//65535)) AS k FROM total GROUP BY chrom)", "total")
+def s13_block_directory(spark, sf):
+    """Blocks of block files, with the row id of the first record that starts in each."""
+    return blocks.block_table(spark, _block_folder(spark, sf, "s13")).select("chrom", "block", "first_id")
+
+
+@_op("SELECT chrom, id, CAST(max(CASE WHEN sample='s1' THEN cov END) AS DOUBLE) AS s1, CAST(max(CASE WHEN sample='s2' THEN cov END) AS DOUBLE) AS s2 FROM m GROUP BY chrom, id", "m")
+def k5_sorted_matrix(spark, sf):
+    """A matrix as sorted, compressed text, read back."""
+    path = scratch(spark, "k5")
+    text.write_matrix(matrix._pivot(v.m(spark, sf), SITE, SAMPLES[:2], {"": F.col("cov")}), path, SITE)
+    return text.matrix(spark, path, {"chrom": "string", "id": "long"}, SAMPLES[:2])
+
+
+@_op("SELECT chrom, pos, strand FROM ref", "ref")
+def k4_k7_appended_text(spark, sf):
+    """Packed in three steps, the second and third appended; a step that ignores what is there changes nothing."""
+    path, r = scratch(spark, "k7"), v.ref(spark, sf).select("chrom", "id", "pos", "strand")
+    for k in range(3):
+        text.write_keyed(r.where(F.col("id") % 3 == k), path, CHROM, mode="append")
+    text.write_keyed(r, path, CHROM, mode="ignore")
+    return spark.read.schema(r.schema).parquet(path).select("chrom", "pos", "strand")
+
+
+@_op("SELECT p_partkey, CAST(round_even(p_size/3.0, -1) AS BIGINT) AS tens FROM part")
+def f8_nearest_ten(spark, sf):
+    return v.table(spark, sf, "part").select("p_partkey", fn.nearest_tens(F.col("p_size")).alias("tens"))
+
+
+@_op(f"SELECT chrom, i AS pos, CASE c WHEN 'C' THEN '+' ELSE '-' END AS strand, context FROM (SELECT *, {_CONTEXT} AS context FROM (SELECT *, substr(seq, i, 1) AS c FROM (SELECT chrom, seq, unnest(range(1, length(seq)+1)) AS i FROM genome)) WHERE c IN ('C','G')) WHERE regexp_matches(context, '^C[ACT]G')", "genome")
+def x3_cytosine_pattern(spark, sf):
+    return index.cytosines(v.genome(spark, sf), chunk=1000, pattern="CHG")

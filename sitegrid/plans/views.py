@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import assign_ids
+from ..model import ordinals
+from ..storage import new_folder
 
 SAMPLES = [f"s{i}" for i in range(1, 8)]
 CHROMS = ["chr3", "chr1", "chr9", "chr5"]
@@ -22,7 +21,7 @@ CTES = {
     "m": "m AS (SELECT s.sample, r.chrom, r.id, r.pos, r.strand, r.context, s.mc, s.cov FROM sites s JOIN ref r USING (chrom, pos))",
     "total": "total AS (SELECT r.chrom, r.id, r.pos, r.strand, r.context, CAST(coalesce(sum(s.mc),0) AS BIGINT) AS mc, CAST(coalesce(sum(s.cov),0) AS BIGINT) AS cov FROM ref r LEFT JOIN sites s USING (chrom, pos) GROUP BY ALL)",
     "regions": "regions AS (SELECT concat('chr', CAST(p_partkey%5+1 AS VARCHAR)) AS chrom, p_partkey*7 AS start, p_partkey*7+p_size*10 AS stop, p_partkey AS region_id FROM part)",
-    "genome": "genome AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS chrom, regexp_replace(upper(text),'[^ACGT]','','g') AS seq FROM documents WHERE lang='en' AND n_chars<=2000)",
+    "genome": "genome AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS chrom, regexp_replace(upper(text),'[^ACGT]','','g') AS seq FROM documents WHERE text IS NOT NULL)",
     "classes": "classes AS (SELECT * FROM (VALUES ('s1','A'),('s2','A'),('s3','A'),('s4','B'),('s5','B'),('s6','B'),('s7','B')) t(sample, cell_class))",
     "idx": """idx AS (SELECT * FROM (SELECT g.chrom, g.start, g.stop, g.region_id,
         (SELECT min(r.id) FROM ref r WHERE r.chrom=g.chrom AND r.pos>=g.start) AS id_start,
@@ -62,7 +61,7 @@ def ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(
         _chrom("o_orderkey"), (k + 1).alias("pos"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"), F.when(F.floor(k / 2) % 3 == 0, "CGN").otherwise("CHN").alias("context")
     )
-    return assign_ids(rows, ["chrom"], ["pos"])
+    return ordinals(rows, ["chrom"], "pos", "id")
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +90,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", F.col("doc_id").cast("string").alias("chrom"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
 
 
@@ -107,5 +106,4 @@ def dmr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared one, for round trips through files."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{root.rstrip('/')}/round-trips/{name}-{uuid.uuid4().hex}"
+    return f"{new_folder(spark, 'round-trips')}-{name}"

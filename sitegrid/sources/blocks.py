@@ -20,9 +20,12 @@ import os
 import struct
 import uuid
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import spark_type
@@ -32,6 +35,9 @@ FILE_MARK, CHUNK_MARK, BLOCK_MARK, VERSION = b"BMZIP", b"MC", b"MB", 1.0
 BLOCK_SIZE = 65_535
 END_MARK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
+# Format codes as NumPy types, little-endian.
+_NUMPY = {"B": "u1", "H": "<u2", "I": "<u4", "L": "<u4", "Q": "<u8", "b": "i1", "h": "<i2", "i": "<i4", "l": "<i4", "q": "<i8", "f": "<f4", "d": "<f8", "c": "S1"}
+
 
 def _text(f) -> str:
     return f.read(f.read(1)[0]).decode()
@@ -50,6 +56,7 @@ class Header:
     columns: list[str]
     dims: list[str]
     message: str = ""
+    total: int = field(default=0, compare=False)  # bytes before the end mark; 0 while a file is being written
 
     @property
     def record(self) -> struct.Struct:
@@ -64,12 +71,17 @@ class Header:
     def read(f) -> Header:
         if f.read(5) != FILE_MARK:
             raise ValueError("not a file of this format")
-        _, _, n = struct.unpack("<fQH", f.read(14))
+        _, total, n = struct.unpack("<fQH", f.read(14))
         message = f.read(n).decode()
         count = f.read(1)[0]
         formats = [_text(f) for _ in range(count)]
         columns = [_text(f) for _ in range(count)]
-        return Header(formats, columns, [_text(f) for _ in range(f.read(1)[0])], message)
+        return Header(formats, columns, [_text(f) for _ in range(f.read(1)[0])], message, total)
+
+    def numpy_type(self) -> np.dtype:
+        """The packed record; fixed-width text loses its NUL padding by itself."""
+        kind = lambda c: f"S{c[:-1] or 1}" if c.endswith("s") else _NUMPY[c]
+        return np.dtype([(n, kind(c)) for n, c in zip(self.columns, self.formats, strict=True)])
 
     def schema(self) -> StructType:
         from ..model import schema_from_formats
@@ -89,40 +101,67 @@ class Chunk(InputPartition):
 
 
 def directory(path: str) -> tuple[Header, list[Chunk]]:
-    """Header and chunks of a file, from its headers and tails."""
+    """Header and chunks of a file, from its headers and tails. A file that was cut off or not finished is refused."""
     out = []
     with open(path, "rb") as f:
         head = Header.read(f)
-        while f.read(2) == CHUNK_MARK:
+        at, size_of_file = f.tell(), os.fstat(f.fileno()).st_size
+        if head.total + len(END_MARK) != size_of_file:
+            raise ValueError(f"{path} isn't finished: {size_of_file} bytes")
+        while f.tell() < head.total:
+            if f.read(2) != CHUNK_MARK:
+                raise ValueError(f"a chunk of {path} is damaged")
             start = f.tell() - 2
             (size,) = struct.unpack("<Q", f.read(8))
             f.seek(start + size)
             raw_size, blocks = struct.unpack("<QQ", f.read(16))
             f.seek(8 * blocks, 1)
             out.append(Chunk(path, start, size, raw_size // head.record.size, blocks, tuple(_text(f) for _ in head.dims)))
+        if f.read() != END_MARK:
+            raise ValueError(f"{path} has no end mark")
     return head, out
 
 
-def records(chunk: Chunk, head: Header):
-    """Tuples of a chunk, block by block; a record may straddle two blocks."""
-    rest, record = b"", head.record
-    strings = [k for k, c in enumerate(head.formats) if c == "c" or c.endswith("s")]
+def block_directory(chunk: Chunk, head: Header) -> list[tuple[int, int, int]]:
+    """(offset in the file, place of the first record that starts in it, its 1-based row id) of every block, from the
+    tail; no block is read."""
+    with open(chunk.path, "rb") as f:
+        f.seek(chunk.start + chunk.size + 16)
+        packed = np.frombuffer(f.read(8 * chunk.blocks), "<u8")
+    at, within = (packed >> np.uint64(16)).astype(np.int64), (packed & np.uint64(0xFFFF)).astype(np.int64)
+    ids = (np.arange(chunk.blocks) * BLOCK_SIZE + within) // head.record.size + 1
+    return list(zip(at.tolist(), within.tolist(), ids.tolist(), strict=True))
+
+
+def arrays(chunk: Chunk, head: Header, together: int = 64):
+    """The chunk's records as structured arrays, `together` blocks at a time; a record may straddle two blocks."""
+    kind, rest = head.numpy_type(), b""
     with open(chunk.path, "rb") as f:
         f.seek(chunk.start + 10)
-        for _ in range(chunk.blocks):
+        parts = []
+        for k in range(chunk.blocks):
             if f.read(2) != BLOCK_MARK:
                 raise ValueError("a block is damaged")
             (size,) = struct.unpack("<H", f.read(2))
-            rest += zlib.decompress(f.read(size - 6), -15)
+            parts.append(zlib.decompress(f.read(size - 6), -15))
             f.read(2)
-            whole = len(rest) // record.size * record.size
-            for row in record.iter_unpack(rest[:whole]):
-                if strings:
-                    row = list(row)
-                    for k in strings:
-                        row[k] = row[k].rstrip(b"\0").decode()
-                yield row
-            rest = rest[whole:]
+            if len(parts) == together or k == chunk.blocks - 1:
+                raw = b"".join([rest, *parts])
+                n = len(raw) // kind.itemsize
+                yield np.frombuffer(raw, kind, n)
+                rest, parts = raw[n * kind.itemsize :], []
+
+
+def records(chunk: Chunk, head: Header):
+    """Tuples of a chunk, text decoded."""
+    text = [k for k, c in enumerate(head.formats) if c == "c" or c.endswith("s")]
+    for rows in arrays(chunk, head):
+        for row in rows.tolist():
+            if text:
+                row = list(row)
+                for k in text:
+                    row[k] = row[k].decode()
+            yield tuple(row)
 
 
 class ChunkWriter:
@@ -176,6 +215,45 @@ class ChunkWriter:
         self.f.write(struct.pack("<Q", total))
 
 
+def _listed(spark, path: str) -> list[tuple[Header, Chunk]]:
+    local = path.removeprefix("file://")
+    files = sorted(glob.glob(f"{local}/*.cz")) if os.path.isdir(local) else [local]
+    return [(head, c) for head, chunks in map(directory, files) for c in chunks]
+
+
+def chunk_table(spark, path: str):
+    """Chunks of the files of a folder, from headers and tails alone: dims, file, offset, size, tail, nblocks, nrows."""
+    found = _listed(spark, path)
+    dims = found[0][0].dims if found else []
+    kinds = ", ".join([*(f"`{d}` string" for d in dims), "file string, offset long, size long, tail long, nblocks long, nrows long"])
+    return spark.createDataFrame([(*c.values, c.path, c.start, c.size, c.start + c.size, c.blocks, c.rows) for _, c in found], kinds)
+
+
+def block_table(spark, path: str):
+    """Blocks of the files of a folder: dims, file, number in the chunk, offset, place of the first record that starts
+    in it, that record's row id. Each chunk's tail is read in a task of its own."""
+    found = _listed(spark, path)
+    dims = found[0][0].dims if found else []
+    kinds = ", ".join([*(f"`{d}` string" for d in dims), "file string, block long, offset long, within long, first_id long"])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for row in b.to_pylist():
+                head, chunk = found[row["id"]]
+                rows += [(*chunk.values, chunk.path, k, *x) for k, x in enumerate(block_directory(chunk, head), 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], [*dims, "file", "block", "offset", "within", "first_id"])
+
+    return spark.range(0, len(found), 1, max(1, min(len(found), 1000))).mapInArrow(run, kinds)
+
+
+def header(path: str) -> Header:
+    """Formats, columns, dimensions and message of one file."""
+    with open(path.removeprefix("file://"), "rb") as f:
+        return Header.read(f)
+
+
 class KeyedBlocks(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -192,7 +270,7 @@ class KeyedBlocks(DataSource):
         return directory(self._files()[0])[0].schema()
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self._files())
+        return _Reader(self._files(), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         split = lambda k: [x for x in self.options.get(k, "").split(",") if x]
@@ -209,8 +287,8 @@ def register(spark) -> None:
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, files: list[str]):
-        self.files, self.wanted = files, []
+    def __init__(self, files: list[str], schema: StructType):
+        self.files, self.wanted, self.schema = files, [], to_arrow_schema(schema)
 
     def pushFilters(self, filters):
         """Equality of a dimension chooses chunks; everything else is left to Spark."""
@@ -229,8 +307,14 @@ class _Reader(DataSourceReader):
         if chunk.path:
             with open(chunk.path, "rb") as f:
                 head = Header.read(f)
-            for i, row in enumerate(records(chunk, head), 1):
-                yield (*chunk.values, i, *row)
+            n = 0
+            for rows in arrays(chunk, head):
+                ids = pa.array(np.arange(n + 1, n + len(rows) + 1), pa.int64())
+                own = [pa.array([v], pa.string()).take(pa.array(np.zeros(len(rows), np.int64))) for v in chunk.values]
+                cols = [pa.array(rows[c].tolist(), pa.binary()).cast(pa.string()) if rows.dtype[c].kind == "S" else pa.array(rows[c]) for c in head.columns]
+                made = pa.RecordBatch.from_arrays([*own, ids, *cols], [*head.dims, "id", *head.columns])
+                yield pa.RecordBatch.from_arrays([made.column(f.name).cast(f.type) for f in self.schema], schema=self.schema)
+                n += len(rows)
 
 
 @dataclass

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..storage import cut
+
 
 def running_sums(stream: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Sum of each value by key over all that has come in; start it in complete or update mode."""
@@ -34,13 +36,9 @@ def runs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     whose first keys equal the last ones of the block before goes on with its run. What is ordered in one task is one
     row a block.
     """
-    from pyspark.sql import Window
-
-    if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
     local, key = F.monotonically_increasing_id(), F.struct(*keys)
     placed = df.repartitionByRange(order).sortWithinPartitions(order)
-    placed = placed.withColumn("_at", local.bitwiseAND(F.lit((1 << 33) - 1))).withColumn("_part", F.shiftright(local, 33)).checkpoint()
+    placed = cut(placed.withColumn("_at", local.bitwiseAND(F.lit((1 << 33) - 1))).withColumn("_part", F.shiftright(local, 33)))
     inside = Window.partitionBy("_part").orderBy("_at")
     new = F.when(key == F.lag(key).over(inside), 0).otherwise(1)
     counted = placed.withColumn("_new", new).withColumn("_run", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))

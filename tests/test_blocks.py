@@ -38,3 +38,30 @@ def test_directory_and_uint32(tmp_path):
     got, chunks = blocks.directory(path)
     assert (got, [(c.values, c.rows) for c in chunks]) == (head, [(("a",), 80_000), (("b",), 1)])
     assert [r[0] for r in blocks.records(chunks[0], head)] == values
+
+
+def test_cut_off_files_are_refused(tmp_path):
+    head, path = blocks.Header(["I"], ["n"], ["d"]), str(tmp_path / "x.cz")
+    with open(path, "wb+") as f:
+        w = blocks.ChunkWriter(f, head)
+        for v in range(60_000):
+            w.write((str(v // 30_000),), (v,))
+        w.close()
+    whole = open(path, "rb").read()
+    assert len(blocks.directory(path)[1]) == 2
+    for bad in (whole[: len(whole) // 2], whole[:-5], whole + b"x", whole.replace(blocks.CHUNK_MARK, b"XX", 1)):
+        open(path, "wb").write(bad)
+        with pytest.raises(ValueError):
+            blocks.directory(path)
+
+
+def test_uint32_through_spark_and_metadata(spark, tmp_path):
+    blocks.register(spark)
+    values, path = [0, 1, 123456789, 4294967295], str(tmp_path / "t")
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 5)], "d string, n long").coalesce(1)
+    df.write.format("keyed_blocks").options(formats="I", columns="n", dims="d", message="note").mode("append").save(path)
+    assert [r.n for r in spark.read.format("keyed_blocks").load(path).where("d = 'a'").orderBy("id").collect()] == values
+    chunks = {r.d: r for r in blocks.chunk_table(spark, path).collect()}
+    assert {d: (r.nrows, r.nblocks) for d, r in chunks.items()} == {"a": (4, 1), "b": (1, 1)}
+    assert blocks.header(chunks["a"].file) == blocks.Header(["I"], ["n"], ["d"], "note")
+    assert [(r.d, r.block, r.first_id) for r in blocks.block_table(spark, path).orderBy("d").collect()] == [("a", 1, 1), ("b", 1, 1)]

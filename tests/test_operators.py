@@ -197,3 +197,118 @@ def test_streaming_merge(spark, tmp_path):
         spark.createDataFrame([("c", 1, 10), ("d", 4, 1)], "chrom string, pos long, mc long").coalesce(1).write.mode("append").parquet(str(src))
     got = streaming.merged(spark.read.parquet(str(tmp_path / "out")), ["chrom", "pos"], ["mc"])
     assert rows(got) == [("c", 1, 15), ("d", 4, 1)]
+
+
+def test_ordinals_equal_the_window(spark):
+    random.seed(9)
+    df = spark.createDataFrame([(random.choice(["a", "b", None]), p) for p in random.sample(range(-500, 5000), 900)], "d string, pos long")
+    assert rows(model.ordinals(df, ["d"], "pos", "id", width=64)) == rows(model.assign_ids(df, ["d"], ["pos"]).select("d", "pos", "id"))
+    assert model.ordinals(df.where("false"), ["d"], "pos", "id").count() == 0
+
+
+def test_clusters_across_blocks(spark):
+    random.seed(4)
+    sites, want = [(d, p) for d in "ab" for p in sorted(random.sample(range(3000), 250))], []
+    for k, (d, p) in enumerate(sites):
+        same = k and sites[k - 1][0] == d
+        want.append((d, p, want[-1][2] + (p - sites[k - 1][1] > 12) if same else 1))
+    df = spark.createDataFrame(sites, "d string, pos long")
+    for width in (16, 100, 65_536):
+        assert rows(dmr.clusters(df, ["d"], 12, width)) == sorted(want, key=repr)
+
+
+def test_long_and_short_intervals(spark):
+    random.seed(8)
+    points = [("c", random.randrange(10**6)) for _ in range(300)]
+    spans = [("c", s := random.randrange(10**6), s + random.choice([0, 3, 900, 70_000, 900_000]), k) for k in range(60)] + [("c", 9, 3, 99), ("x", 0, 10**6, 98)]
+    got = join.points_in_intervals(spark.createDataFrame(points, "d string, pos long"), spark.createDataFrame(spans, "d string, start long, stop long, k int"), ["d"], "pos", "start", "stop", width=8)
+    assert sorted((r.pos, r.k) for r in got.collect()) == sorted((p, k) for _, p in points for d, a, b, k in spans if d == "c" and a <= p <= b)
+
+
+def test_first_at_or_after(spark):
+    ref = model.assign_ids(spark.createDataFrame([("c", p) for p in (10, 20, 30)], "chrom string, pos long"), ["chrom"], ["pos"])
+    points = spark.createDataFrame([("c", 5, 1), ("c", 20, 2), ("c", 21, 3), ("c", 31, 4), ("x", 1, 5)], "chrom string, pos long, k int")
+    assert sorted((r.k, r.id) for r in join.first_at_or_after(ref, points, ["chrom"], width=8).collect()) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_cytosine_patterns(spark):
+    df = spark.createDataFrame([("s", "CGCAGCTTé" + "CCG")], "chrom string, seq string")
+    every = rows(index.cytosines(df, chunk=4))
+    assert rows(index.cytosines(df, chunk=4, pattern="CHG")) == [r for r in every if r[3][1] in "ACT" and r[3][2] == "G"]
+    assert rows(index.cytosines(df, pattern="CN")) == every and any(r[3] == "CTT" for r in every) and ("s", 10, "+", "CCG") in every
+    with pytest.raises(ValueError):
+        index.cytosines(df, pattern="G")
+
+
+def test_fisher_of_large_counts():
+    start = math.lgamma
+    p = fn.fisher_exact([70_000, 10**7], [70_500, 10**7 + 3000], [60_000, 10**7 - 500], [61_000, 10**7])
+    assert p[0] == pytest.approx(0.23160967828, rel=1e-7) and 0.69 < p[1] < 0.70
+    assert fn.log_factorial([10, 100_000]).tolist() == pytest.approx([start(11), start(100_001)], rel=1e-12)
+
+
+def test_combination_against_pairs():
+    rng = random.Random(3)
+    pos, z, r = [], [], []
+    for _ in range(40):
+        n = rng.randrange(1, 20)
+        pos.append([rng.randrange(10**6) + x for x in sorted(rng.sample(range(900), n))])
+        pos[-1].sort()
+        z.append([rng.gauss(0, 1) for _ in range(n)])
+        r.append([rng.random() for _ in range(3)])
+    got = dmr.stouffer_liptak_all(pos, z, r, 100)
+    for p, s, c, g in zip(pos, z, r, got, strict=True):
+        lag = lambda a, b: max((abs(a - b) - 1) // 100, 0)
+        var = sum(1.0 if i == j else (c[k] if (k := lag(a, b)) < 3 else 0.0) for i, a in enumerate(p) for j, b in enumerate(p))
+        assert g == pytest.approx(0.5 * math.erfc(sum(s) / math.sqrt(2 * var)), rel=1e-12)
+
+
+def test_streams_and_batches(spark):
+    import io
+
+    df = spark.createDataFrame([("a", 1, 300), ("a", 2, None), ("b", 1, 7)], "d string, id long, n int")
+    out = io.StringIO()
+    assert text.to_stream(df.orderBy("d", "id"), out) == 3 and out.getvalue() == "d\tid\tn\na\t1\t300\na\t2\t\nb\t1\t7\n"
+    out.seek(out.getvalue().index("a"))
+    assert rows(text.from_stream(spark, ["d", "id", "n"], {"id": "Q", "n": "B"}, out, ["d"])) == [("a", 1, 255), ("a", 2, None), ("b", 1, 7)]
+    assert text.from_stream(spark, ["d"], {}, io.StringIO(""), ["d"]).count() == 0
+    parts = list(text.local_batches(df, {"d": "a"}, 1))
+    assert [len(p) for p in parts] == [1, 1] and text.to_frame(df, {"d": "a"})["id"].tolist() == [1, 2]
+
+
+def test_append_and_ignore(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 5), ("b", 1, 6)], "d string, id long, n long")
+    path = str(tmp_path / "t")
+    for mode, n in (("error", 2), ("append", 4), ("ignore", 4), ("overwrite", 2)):
+        text.write_keyed(df, path, ["d"], mode=mode)
+        assert spark.read.parquet(path).count() == n
+
+
+def test_sorted_compressed_matrix(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([("b", 2), ("a", 10), ("a", 9), ("b", 1)], "d string, id long").repartition(3)
+    text.write_matrix(df, str(tmp_path / "m"), ["d", "id"])
+    lines = [x for f in sorted((tmp_path / "m").glob("*.gz")) for x in gzip.open(f, "rt").read().splitlines() if not x.startswith("d\t")]
+    assert lines == ["a\t9", "a\t10", "b\t1", "b\t2"]
+
+
+def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
+    from sitegrid import storage
+
+    class Given:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = property(lambda self: self)
+        sc = lambda self: self
+        getCheckpointDir = lambda self: Given()
+
+    class Session:
+        sparkContext = Context()
+        conf = {}  # noqa: RUF012
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Session())

@@ -27,26 +27,29 @@ def test_runs_across_blocks(spark):
 
 
 def test_runs_go_past_any_position(spark, tmp_path):
-    """Positions on both sides of 4000, against the registered SQL without its range."""
+    """Positions on both sides of 4000."""
     spark.range(3900, 4100).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
     con = oracle.duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     out = q.queries()["w3_runs"](spark, str(tmp_path))
     assert out.count() == 200
-    assert oracle.difference(out, q.oracle_sql()["w3_runs"].replace(" WHERE pos<=4000", ""), con) == ""
+    assert oracle.difference(out, q.oracle_sql()["w3_runs"], con) == ""
 
 
-GENOME_CUT = " WHERE lang='en' AND n_chars<=2000"
-
-
-@pytest.mark.parametrize("name", ["s6_fasta", "i5_cytosines", "f1_context", "f2_revcomp"])
+@pytest.mark.parametrize("name", ["s6_fasta", "i5_cytosines", "f1_context", "f2_revcomp", "x3_cytosine_pattern"])
 def test_genome_takes_every_document(spark, tmp_path, name):
-    """Long texts and other languages, against the registered SQL without its filter."""
+    """Long texts, other languages and nulls."""
     rng = random.Random(7)
     texts = ["".join(rng.choice("acgtACGT xyz") for _ in range(n)) for n in (0, 1, 2, 99, 100, 101, 1999, 2001, 5000)]
-    docs = [(i, t, "de" if i % 2 else "en", len(t)) for i, t in enumerate(texts)]
+    docs = [(i, t, "de" if i % 2 else "en", len(t)) for i, t in enumerate(texts)] + [(50, None, "en", None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     con = oracle.duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    sql = q.oracle_sql()[name]
-    assert oracle.difference(q.queries()[name](spark, str(tmp_path)), sql.replace(GENOME_CUT, ""), con) == ""
+    assert oracle.difference(q.queries()[name](spark, str(tmp_path)), q.oracle_sql()[name], con) == ""
+
+
+def test_planted_regions_come_out(spark, sf):
+    found = q.queries()["d1_call_regions"](spark, sf).collect()
+    assert found and all(r.z_sidak_p <= 0.05 for r in found)
+    assert all(r.start % 3000 < 1000 for r in found)  # the planted ranges begin at multiples of 3000
+    assert {r["sample"] for r in found} >= {"s1", "s2"}
