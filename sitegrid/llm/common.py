@@ -2,46 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# Java form of the word pattern; bytes.split() in Python splits on exactly these six characters.
-WORD_GAP = "[\\x20\\x09-\\x0D]+"
+from ..storage import Kept, cut, shared_folder, stored
 
+__all__ = ["Kept", "cut", "shared_folder", "stored"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the input folder, read by Spark so that any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests, one machine)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = "file:///tmp/checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and cut the lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), but as a compressed columnar table: for rows that are read more than once."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """word bytes -> 64-bit hash; remembers at most `limit` words."""
 
@@ -109,53 +85,75 @@ def slices(n: int, sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return [*out, (start, n)] if n > start else out
 
 
-def bitmap(df: DataFrame, key: str, bits: int, slot: str | None = None) -> bytes:
-    """A bitmap of 2**bits flags over hashes of a column, made on the executors; its size is fixed by `bits`.
+def _slots(df: DataFrame, slot: Column) -> DataFrame:
+    """(w, v): a 64-bit word's number and the flag in it, for the slot of every row."""
+    return df.select(slot.alias("slot")).select(F.shiftright("slot", 6).alias("w"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("v"))
+
+
+def _slot(key: str, bits: int) -> Column:
+    return F.expr(f"pmod(xxhash64({key}), {1 << bits}L)")
 
-    `slot` is SQL for a flag's number, by default from xxhash64.
 
-    Blocks of 64 Ki flags are merged by bit_or, so the driver gets 2**bits / 8 bytes whatever the rows.
+def bitmap(df: DataFrame, slot: str, bits: int) -> bytes:
+    """A bitmap of 2**bits flags, `slot` being SQL for a flag's number, for Python workers; its size is fixed by `bits`.
+
+    Words of 64 flags are merged by bit_or, so the driver gets 2**bits / 8 bytes whatever the rows.
     """
-    word = F.shiftright(F.col("slot"), 6)
-    slots = df.select(F.expr(slot or f"pmod(xxhash64({key}), {1 << bits}L)").alias("slot"))
-    words = slots.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("v"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    got = words.toArrow()
+    got = _slots(df, F.expr(slot)).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     out[got.column("w").to_numpy()] = got.column("v").to_numpy()
     return out.tobytes()
 
 
-def maybe_in(flags, key: str, bits: int):
-    """Predicate for bitmap(): false only for keys that were not put in. `flags` is the bitmap's bytes.
+def dense(words: DataFrame, size: int, keep: Callable[[DataFrame], DataFrame]) -> Column:
+    """An array of `size` longs (a power of two over 1024) from rows (w, v): equal w are or-ed, absent ones are 0.
 
-    The bitmap goes into the plan as one literal of fixed size.
+    It is a scalar subquery over a stored table of one row, so neither plans nor the driver's Python hold its numbers.
     """
-    slot = f"pmod(xxhash64({key}), {1 << bits}L)"
-    byte = F.substring(F.lit(flags), F.expr(f"cast(shiftright({slot}, 3) as int) + 1"), F.lit(1))
-    return F.expr(f"shiftleft(1, cast({slot} & 7 as int))").bitwiseAND(F.conv(F.hex(byte), 16, 10).cast("int")) != 0
+    zeros = words.sparkSession.range(0, size, 1, 1).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
+    full = zeros.unionByName(words).groupBy("w").agg(F.bit_or("v").alias("v"))
+    parts = full.groupBy(F.shiftright("w", 10).alias("b")).agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "v"))), lambda x: x.v).alias("a"))
+    return keep(parts.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("b", "a"))), lambda x: x.a)).alias("a"))).scalar()
+
+
+def flags(df: DataFrame, key: str, bits: int, keep: Callable[[DataFrame], DataFrame]) -> Column:
+    """2**bits flags over hashes of the columns `key`, for maybe_in(); the size is fixed by `bits`."""
+    return dense(_slots(df, _slot(key, bits)), 1 << (bits - 6), keep)
+
 
+def maybe_in(flags: Column, key: str, bits: int) -> Column:
+    """Predicate for flags(): false only for keys that were not put in."""
+    slot = _slot(key, bits)
+    word = F.get(flags, F.shiftright(slot, 6).cast("int"))
+    return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) != 0
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], rounds: int = 60) -> DataFrame:
     """(node, root): smallest node reachable over the edges (a, b), for every node that has an edge.
 
-    Large-star and small-star alternate until nothing changes; every round is cut at the shared folder, and
-    no step gathers a component in one task: neighbours are only reduced to their minimum.
+    Large-star and small-star alternate until nothing changes; every step is written to the shared folder, which also
+    counts its rows, and no step gathers a component in one task: neighbours are only reduced to their minimum, and
+    the joins that hand it back are split where a node is hot.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    if e.isEmpty():
+
+    def written(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = keep(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        return out, (seen.get["n"], seen.get["h"])
+
+    e, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if not state[0]:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
+        large = keep(large.where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        new = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        check = lambda d: d.select(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        done = check(new) == check(e)
-        e = new
-        if done:
+        e, new = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        if new == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        state = new
     raise RuntimeError("components did not settle")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, components, cut, maybe_in, shingle_set, stored
+from .common import WordHashes, components, cut, flags, maybe_in, shingle_set, stored
 
 K = 5
 PERCENT = 80
@@ -288,7 +288,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, most: int = MOST,
     edges = keyed.mapInArrow(lambda it: shared_shingles(it, percent, most), "a long, b long, need long")
     pairs = edges.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("least"), F.max("need").alias("need"))
     near = cut(pairs.where("least = 0 or c >= need").select("a", "b"))
-    cluster = components(near)
+    cluster = components(near, stored)
     sized = cut(cluster.join(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "node").select("node", "root", "h1", "n"))
     # clusters over the bound are cut into blocks; block i meets every block j >= i
     weight = sized.groupBy("root").agg(F.sum("n").alias("t"))
@@ -302,10 +302,10 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, most: int = MOST,
     else:
         zero = F.lit(0)
         placed = placed.select("doc", "root", "h1", zero.alias("part"), zero.alias("other"), zero.alias("side"))
-    texts = docs.where(F.coalesce(maybe_in(bitmap(sized, "node", BITMAP_BITS), "doc_id", BITMAP_BITS), F.lit(False)))
+    texts = docs.where(F.coalesce(maybe_in(flags(sized, "node", BITMAP_BITS, stored), "doc_id", BITMAP_BITS), F.lit(False)))
     rows = placed.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc")
     spans = clusters_linked(rows, k, percent)
-    found = components(cut(spans)) if split else cut(spans).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    found = components(cut(spans), stored) if split else cut(spans).select(F.col("b").alias("node"), F.col("a").alias("root"))
     found = found.groupBy("node").agg(F.min("root").alias("root"))
     classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")).join(found, "node", "left").select("h1", "h2", F.least("node", "root").alias("component_id"))
     alone = sigs.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, cut, maybe_in, window_hashes
+from .common import WordHashes, bitmap, cut, flags, maybe_in, stored, window_hashes
 
 WIDTH = 50
 GRAM = 8
@@ -207,7 +207,7 @@ def duplicate_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sha
     found = src.select("doc", "text").mapInArrow(emit_anchors, "anchor long, doc long")
     shared = cut(found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    flags = spark.sparkContext.broadcast(np.frombuffer(bitmap(shared, "anchor", ANCHOR_BITS, f"anchor & {(1 << ANCHOR_BITS) - 1}L"), np.uint8))
+    seen_twice = spark.sparkContext.broadcast(np.frombuffer(bitmap(shared, f"anchor & {(1 << ANCHOR_BITS) - 1}L", ANCHOR_BITS), np.uint8))
     # at most HOT_ANCHORS rows: their counts add up to no more than `total`
     hot_from = max(hot_docs, total // HOT_ANCHORS)
     hot = spark.sparkContext.broadcast(np.sort(shared.where(F.col("n") > hot_from).select("anchor").toArrow().column(0).to_numpy()))
@@ -220,7 +220,7 @@ def duplicate_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sha
         anchors, first, end = regions(hashes.of(words), width, gram)
         signed = anchors.view(np.int64)
         slot = (anchors & np.uint64((1 << ANCHOR_BITS) - 1)).astype(np.int64)
-        for i in np.flatnonzero((flags.value[slot >> 3] >> (slot & 7)) & 1):
+        for i in np.flatnonzero((seen_twice.value[slot >> 3] >> (slot & 7)) & 1):
             a = int(signed[i])
             at = np.searchsorted(hot.value, a)
             if at < len(hot.value) and hot.value[at] == a:
@@ -279,7 +279,7 @@ def covered(n: int, starts, width: int) -> np.ndarray:
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space)."""
     hits = cut(duplicate_windows(docs, width))
-    may = F.coalesce(maybe_in(bitmap(hits, "doc", DOC_BITS), "doc_id", DOC_BITS), F.lit(False))
+    may = F.coalesce(maybe_in(flags(hits, "doc", DOC_BITS, stored), "doc_id", DOC_BITS), F.lit(False))
     src = docs.select("doc_id", "text")
     on = (F.col("doc_id") == F.col("doc")) & (F.col("h") == F.col("text_hash"))
     some = src.where(may).withColumn("h", F.xxhash64("text")).join(hits, on, "left").select("doc_id", F.col("text").cast("binary"), "hits")

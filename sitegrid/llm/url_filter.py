@@ -28,7 +28,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_checkpoint_dir
+from .common import shared_folder
 
 #: (host, path, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -76,7 +76,7 @@ class DigestIndex:
     def ship(self, spark: SparkSession) -> str:
         """Write the arrays to the shared folder and hand them to all executors; returns the index's name."""
         name = f"digests-{uuid.uuid4().hex}"
-        jvm, root = spark._jvm, f"{ensure_checkpoint_dir(spark).rstrip('/')}/digest-index"
+        jvm, root = spark._jvm, f"{shared_folder(spark)}/digest-index"
         for part in self.PARTS:
             path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.{part}")
             out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)

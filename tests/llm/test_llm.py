@@ -411,14 +411,14 @@ def test_wavelet_matrix_rank():
 
 def test_bitmap_has_no_false_negatives(spark):
     df = spark.range(5000).withColumnRenamed("id", "k")
-    flags = common.bitmap(df.where("k % 7 = 0"), "k", 16)
+    flags = common.flags(df.where("k % 7 = 0"), "k", 16, common.stored)
     hit = {r.k for r in df.where(common.maybe_in(flags, "k", 16)).collect()}
     assert set(range(0, 5000, 7)) <= hit and len(hit) < 1100
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (201, 202), (300, 300)]
-    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), common.stored).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 0, 200: 200, 201: 200, 202: 200}
 
 
