@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 DEGREE = 32
 BEAM = 64
+QUERY_BEAM = 384
 ALPHA = 1.2
-SHARD_VECTORS = 10_000
+SHARD_VECTORS = 25_000
 K = 10
 QUERY_BLOCK = 256
 
@@ -145,9 +146,9 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard_vectors: int = SHARD_VECTORS, beam: int = BEAM) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard_vectors: int = SHARD_VECTORS, beam: int = QUERY_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows but itself; both frames have vec_id and embedding."""
-    cols = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")]
+    cols = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")]
     base = rows.where("vec_id is not null").select(*cols).where(usable(F.col("v")))
     asked = queries.where("vec_id is not null").select(*cols).where(usable(F.col("v"))).groupBy("vec_id").agg(F.min("v").alias("v"))
     shards = int(max(1, -(-rows.count() // shard_vectors)))
@@ -159,17 +160,17 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard_vectors: int
     sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), dim.alias("dim"), F.lit(1).alias("kind"), F.array("vec_id").alias("ids"), "v")
 
     def run(batches):
-        key, ids, vectors, graph, block = None, [], [], None, []
+        key, ids, vectors, graph, block, x, scale = None, [], [], None, [], None, 1.0
 
         def answer():
             """The block's queries, k rows each."""
             nonlocal block
             q = np.stack([v for _, v in block])
-            found, _, _ = graph.search(q, max(beam, k + 1))
+            found, _, _ = graph.search(q / scale, max(beam, k + 1))
             qs, vs, ds = [], [], []
             for (qid, v), near in zip(block, found, strict=True):
                 near = near[near >= 0]
-                exact = np.sqrt(((graph.x[near].astype(np.float64) - v.astype(np.float64)) ** 2).sum(1))
+                exact = np.sqrt(((x[near] - v) ** 2).sum(1))
                 best = sorted((d, i) for d, node in zip(exact.tolist(), near, strict=True) for i in ids[node] if i != qid)[:k]
                 qs += [qid] * len(best)
                 vs += [i for _, i in best]
@@ -178,7 +179,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard_vectors: int
             yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(vs, pa.int64()), pa.array(ds, pa.float64())], ["query_id", "vec_id", "score"])
 
         for b in batches:
-            flat = b.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            flat = b.column(4).flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(b.column(1).to_numpy())
             for i, (shard, d, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if (shard, d) != key:
@@ -191,15 +192,20 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, shard_vectors: int
                     vectors.append(v.copy())
                 elif vectors:
                     if graph is None:
-                        graph = PrunedGraph(np.stack(vectors))
-                        vectors = [True]
+                        # the graph is in single precision, scaled so that nothing overflows; distances aren't
+                        x, vectors = np.stack(vectors), [True]
+                        scale = float(np.abs(x).max())
+                        graph = PrunedGraph(x / scale)
                     block.append((b.column(3)[i][0].as_py(), v.copy()))
                     if len(block) == QUERY_BLOCK:
                         yield from answer()
         if block:
             yield from answer()
 
-    dealt = built.unionByName(sent).repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "kind")
+    # the first number that Spark's hash sends to each partition: so every shard has a partition of its own
+    slot = rows.sparkSession.range(32 * shards).groupBy(F.expr(f"pmod(hash(id), {shards})").alias("shard")).agg(F.min("id").alias("slot"))
+    dealt = built.unionByName(sent).join(slot, "shard", "left").select("shard", "dim", "kind", "ids", "v", F.coalesce("slot", F.col("shard").cast("long")).alias("slot"))
+    dealt = dealt.repartition(shards, "slot").sortWithinPartitions("shard", "dim", "kind").drop("slot")
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -132,17 +133,22 @@ def _lookalike_table() -> dict[str, str]:
 
 TABLE = _lookalike_table()
 _DIGIT_WORD = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(DIGIT_WORDS) + r")(?![A-Za-z0-9])", re.I)
-_BRACKET_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*", re.I)
-_BRACKET_DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*", re.I)
+# a run of blanks is tried from its start only, so that long runs stay linear
+_BRACKET_AT = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*", re.I)
+_BRACKET_DOT = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ _-]+dot[ _-]+(?=[A-Za-z0-9])", re.I)
 _SPACED_DOT = re.compile(r"(?<=[0-9]) ?\. ?(?=[0-9])")
-_WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ _-]+at[ _-]+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", re.I)
+_WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ _-]+at[ _-]+(?=[A-Za-z0-9])", re.I)
+_HOST = re.compile(r"[A-Za-z0-9.-]+")
+_NAME_RUN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-])?")
+_WORD = re.compile(r"\S+")
+_MAILBOX = re.compile(r"[A-Za-z][._+-]?[0-9]|[A-Za-z0-9][._+][A-Za-z0-9]")
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9]) *@ *(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)")
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus[ ]+(?=[0-9])", re.I)
 _DIGIT_GAP = re.compile(r"(?<=[0-9])(?:, ?| ?[/_] ?| {2,}| ?- ?)(?=[0-9])")
 # Signs of a disguise in lower-cased text; most patterns start with plain characters, which are searched fast. The last
 # two take all that _SPACED_DOT and _DIGIT_GAP would change.
-_HINTS = [re.compile(p) for p in (r"\[[ \t]*(?:at|@|\.|dot)", r"\([ \t]*(?:at|@|\.|dot)", r"\{[ \t]*(?:at|@|\.|dot)", r"<[ \t]*(?:at|@|\.|dot)", r" at[ _-]+[a-z0-9-]+\.[a-z0-9]", r"_at[ _-]", r"-at[ _-]", r" @", r"@ ", r"[0-9](?: \. ?|\. )[0-9]", r"[0-9](?:, ?| ?[/_] ?| {2,}| ?- ?)[0-9]")]
+_HINTS = [re.compile(p) for p in (r"\[[ \t]*(?:at|@|\.|dot)", r"\([ \t]*(?:at|@|\.|dot)", r"\{[ \t]*(?:at|@|\.|dot)", r"<[ \t]*(?:at|@|\.|dot)", r" at[ _-]+[a-z0-9][a-z0-9-]*\.[a-z0-9]", r"_at[ _-]", r"-at[ _-]", r" @", r"@ ", r"[0-9](?: \. ?|\. )[0-9]", r"[0-9](?:, ?| ?[/_] ?| {2,}| ?- ?)[0-9]")]
 
 
 def has_hint(text: str) -> bool:
@@ -203,42 +209,67 @@ def rewrite(text: str) -> Rewritten | None:
     said_dot = out.step(_WORD_DOT, ".")
     changed |= said_dot | out.step(_SPACED_DOT, ".")
 
-    def at(m: re.Match) -> str | None:
-        # "at" is a common word: either a dot was disguised nearby, or the word before it looks like a mailbox
-        a, b = m.span()
-        name = out.text[max(0, a - 64) : a].split()[-1:] or [""]
-        host = re.match(r"[A-Za-z0-9.-]+", out.text[b:]).end()
-        s, e = out.source(b, b + host)
-        return "@" if e - s > host or re.search(r"[A-Za-z][._+-]?[0-9]|[A-Za-z0-9][._+][A-Za-z0-9]", name[0]) else None
-
-    changed |= out.step(_WORD_AT, at)
+    if _WORD_AT.search(out.text):
+        changed |= out.step(_WORD_AT, _at_word(out))
     changed |= out.step(_SPACED_AT, "@")
     changed |= out.step(_PLUS, "+")
     changed |= out.step(_DIGIT_GAP, " ")
     return out if changed else None
 
 
+def _at_word(out: Rewritten):
+    """Replacement of the word "at": it is common, so a dotted name must follow it, and either a dot was disguised there
+    or the word before it, up to the blank, looks like a mailbox. Runs and words are found once for the whole text."""
+    runs = [(m.start(), m.end(), m[1] is not None) for m in _NAME_RUN.finditer(out.text)]
+    run_starts = [r[0] for r in runs]
+    words = [m.span() for m in _WORD.finditer(out.text)]
+    word_starts = [w[0] for w in words]
+    mailbox: dict[int, int] = {}  # word -> end of its first sign of a mailbox
+
+    def at(m: re.Match) -> str | None:
+        a, b = m.span()
+        run = runs[bisect_right(run_starts, b) - 1]
+        if not (run[2] and b < run[1] - 2):
+            return None
+        host = _HOST.match(out.text, b).end()
+        s, e = out.source(b, host)
+        if e - s > host - b:
+            return "@"
+        k = bisect_left(word_starts, a) - 1
+        if k not in mailbox:
+            found = _MAILBOX.search(out.text, *words[k])
+            mailbox[k] = found.end() if found else len(out.text) + 1
+        return "@" if mailbox[k] <= a else None
+
+    return at
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, added spans) as (start, end, kind) in code points."""
     base = [(a, b, kind) for kind, find in DETECTORS.items() for a, b in find(text)]
     plain = rewrite(text)
     if plain is None:
         return base, []
-    taken = sorted((a, b) for a, b, _ in base)
+    # what is taken, as disjoint ranges in order
+    starts, ends = [], []
+    for a, b in sorted((a, b) for a, b, _ in base):
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     added = []
     for kind, find in DETECTORS.items():
         for a, b in find(plain.text):
             s, e = plain.source(a, b)
-            if text[s:e] != plain.text[a:b] and not _overlaps(taken, s, e):
+            k = bisect_left(starts, e)
+            if text[s:e] != plain.text[a:b] and not (k and ends[k - 1] > s):
                 added.append((s, e, kind))
-                taken = sorted([*taken, (s, e)])
+                starts.insert(k, s)
+                ends.insert(k, e)
     return base, added
 
 
-def _overlaps(taken: list[tuple[int, int]], s: int, e: int) -> bool:
-    return any(a < e and s < b for a, b in taken)
-
-
 def listed(found: list[tuple[int, int, str]]) -> str:
     """kind:start:end, by start and then by kind in the order of KINDS."""
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
