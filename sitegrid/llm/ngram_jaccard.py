@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, cut, flags, maybe_in, shingle_set, stored
+from .common import Kept, WordHashes, components, flags, maybe_in, shingle_set, stored
 
 K = 5
 PERCENT = 80
@@ -94,7 +94,7 @@ def choose_extra(counts: np.ndarray, base: int, noise: float, most: int) -> int:
 
 
 def signatures(docs: DataFrame, counts: np.ndarray, k: int = K, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n, digest of the set (h1, h2), l and the prefix, rare shingles first."""
+    """doc_id, hash of the text, n, digest of the set (h1, h2), l and the prefix, rare shingles first."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counts)  # 2**bits integers
     mean = float(counts.mean())
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, k: int = K, percent: int = P
         counts, hashes = shared.value, WordHashes()
         for b in batches:
             n, h1, h2, ell, prefix = [], [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text, k, hashes)
                 n.append(len(s))
                 if not len(s):
@@ -125,13 +125,13 @@ def signatures(docs: DataFrame, counts: np.ndarray, k: int = K, percent: int = P
             sizes = np.fromiter(map(len, prefix), np.int64, len(prefix))
             flat = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ell, pa.int32()),
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ell, pa.int32()),
                  pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)],
-                ["doc_id", "n", "h1", "h2", "ell", "prefix"],
+                ["doc_id", "th", "n", "h1", "h2", "ell", "prefix"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, n long, h1 long, h2 long, ell int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, th long, n long, h1 long, h2 long, ell int, prefix array<long>")
 
 
 def _pairs(doc: np.ndarray, info: np.ndarray, percent: int) -> list[np.ndarray] | None:
@@ -277,42 +277,65 @@ def clusters_linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.select(cols).repartition("root", "part", "other").sortWithinPartitions("root", "part", "other").mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, k: int = K, percent: int = PERCENT, most: int = MOST, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _joined(docs: DataFrame, k: int, percent: int, most: int, cluster_shingles: int) -> DataFrame:
+    """doc_id, hash of the text, n_shingles, component_id of every row.
+
+    Equal sets are one class, and classes are numbered: a doc_id that is repeated with another text is another class.
+    """
     sigs = stored(signatures(docs, sketch(docs, k), k, percent))
     named = sigs.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first(F.struct("n", "ell", "prefix")).alias("s"))
-    exploded = reps.select("doc", "s.n", "s.ell", F.posexplode("s.prefix").alias("i", "key"))
+    reps = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "ell", "prefix")).alias("s"))
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "s.*"))
+    exploded = reps.select("node", "n", "ell", F.posexplode("prefix").alias("i", "key"))
     info = F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 6)).bitwiseOR(F.col("ell").cast("long"))
-    keyed = exploded.select("key", F.col("doc").cast("long").alias("doc"), info.alias("info")).repartition(F.col("key")).sortWithinPartitions("key")
+    keyed = exploded.select("key", "node", info.alias("info")).repartition(F.col("key")).sortWithinPartitions("key")
     edges = keyed.mapInArrow(lambda it: shared_shingles(it, percent, most), "a long, b long, need long")
-    pairs = edges.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("least"), F.max("need").alias("need"))
-    near = cut(pairs.where("least = 0 or c >= need").select("a", "b"))
-    cluster = components(near, stored)
-    sized = cut(cluster.join(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "node").select("node", "root", "h1", "n"))
+    pairs = edges.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("low"), F.max("need").alias("need"))
+    with Kept(docs.sparkSession) as keep:
+        near = keep(pairs.where("low = 0 or c >= need").select("a", "b"))
+        cluster = components(near, keep)
+        sized = keep(cluster.join(reps.select("node", "h1", "least", "n"), "node"))
+        found = stored(_verified(docs, sized, k, percent, cluster_shingles, keep))
+    roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).groupBy("node").agg(F.min("root").alias("root"))
+    linked = roots.join(reps.select("node", "least"), "node")
+    low = linked.groupBy("root").agg(F.min("least").alias("low"))
+    labels = linked.join(low, "root").select("node", "low")
+    classes = reps.select("node", "h1", "h2", "least").join(labels, "node", "left").select("h1", "h2", F.coalesce("low", "least").alias("component_id"))
+    out = ["doc_id", "th", F.col("n").alias("n_shingles"), "component_id"]
+    alone = sigs.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).select(out)
+    return named.join(classes, ["h1", "h2"]).select(out).unionByName(alone)
+
+
+def _verified(docs: DataFrame, sized: DataFrame, k: int, percent: int, cluster_shingles: int, keep) -> DataFrame:
+    """(node, root) of the classes that have links, from the candidate clusters' texts."""
     # clusters over the bound are cut into blocks; block i meets every block j >= i
     weight = sized.groupBy("root").agg(F.sum("n").alias("t"))
-    big = weight.where(F.col("t") > cluster_shingles).select("root", F.ceil(F.col("t") / (cluster_shingles // 2)).cast("int").alias("blocks"))
+    big = keep(weight.where(F.col("t") > cluster_shingles).select("root", F.ceil(F.col("t") / (cluster_shingles // 2)).cast("int").alias("blocks")))
     split = not big.isEmpty()
-    placed = sized.select(F.col("node").alias("doc"), "root", "h1")
+    placed = sized.select(F.col("node").alias("doc"), "root", "h1", "least")
     if split:
         placed = placed.join(big, "root", "left").withColumn("own", F.expr("cast(pmod(xxhash64(doc), coalesce(blocks, 1)) as int)"))
         meet = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda j: F.struct(F.least("own", j).alias("part"), F.greatest("own", j).alias("other"), (F.col("own") > j).cast("int").alias("side")))
-        placed = placed.withColumn("m", F.explode(meet)).select("doc", "root", "h1", "m.*")
+        placed = placed.withColumn("m", F.explode(meet)).select("doc", "root", "h1", "least", "m.*")
     else:
         zero = F.lit(0)
-        placed = placed.select("doc", "root", "h1", zero.alias("part"), zero.alias("other"), zero.alias("side"))
-    texts = docs.where(F.coalesce(maybe_in(flags(sized, "node", BITMAP_BITS, stored), "doc_id", BITMAP_BITS), F.lit(False)))
-    rows = placed.join(texts.select(F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("text")), "doc")
-    spans = clusters_linked(rows, k, percent)
-    found = components(cut(spans), stored) if split else cut(spans).select(F.col("b").alias("node"), F.col("a").alias("root"))
-    found = found.groupBy("node").agg(F.min("root").alias("root"))
-    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")).join(found, "node", "left").select("h1", "h2", F.least("node", "root").alias("component_id"))
-    alone = sigs.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
+        placed = placed.select("doc", "root", "h1", "least", zero.alias("part"), zero.alias("other"), zero.alias("side"))
+    wanted = F.coalesce(maybe_in(flags(sized, "least", BITMAP_BITS, keep), "doc_id", BITMAP_BITS), F.lit(False))
+    texts = docs.where(wanted).select(F.col("doc_id").alias("least"), F.col("text").cast("binary").alias("text"))
+    spans = keep(clusters_linked(placed.join(texts, "least"), k, percent))
+    return components(spans, keep) if split else spans.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def join(docs: DataFrame, k: int = K, percent: int = PERCENT, most: int = MOST, cluster_shingles: int = CLUSTER_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return _joined(docs, k, percent, most, cluster_shingles).drop("th")
 
 
 def first_of_each(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; empty sets and null ids stay."""
-    later = join(docs.select("doc_id", "text"), k, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    """The documents without those whose component has a smaller doc_id; empty sets and null ids stay.
+
+    Rows go by doc_id and text, so another text under the same doc_id is judged on its own.
+    """
+    rows = _joined(docs.select("doc_id", "text"), k, percent, MOST, CLUSTER_SHINGLES)
+    later = rows.where("component_id < doc_id").select(F.col("doc_id").alias("_later"), F.col("th").alias("_text")).distinct()
+    return docs.join(later, (F.col("doc_id") == F.col("_later")) & (F.xxhash64("text") == F.col("_text")), "left_anti")

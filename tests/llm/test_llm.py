@@ -397,6 +397,15 @@ def test_components_against_brute_force(spark, most, cluster):
     assert got == brute_components(texts)
 
 
+def test_repeated_ids_are_told_apart_by_their_texts(spark):
+    rng = random.Random(5)
+    a, b = rand_words(rng, 100, 5000), " ".join(rand_words(rng, 100, 5000))
+    near = " ".join([*a[:99], "other"])
+    docs = make(spark, [(1, " ".join(a)), (5, near), (5, b), (7, b), (7, b)], extra=True)
+    assert sorted((r.doc_id, r.component_id) for r in ngram_jaccard.join(docs).collect()) == [(1, 1), (5, 1), (5, 5), (7, 5), (7, 5)]
+    assert sorted((r.doc_id, r.text) for r in ngram_jaccard.first_of_each(docs).collect()) == sorted([(1, " ".join(a)), (5, b)])
+
+
 # 10
 
 
