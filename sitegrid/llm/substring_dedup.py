@@ -13,7 +13,7 @@ matrix of packed bits with block counts. The regions then stream through the ind
 one word to the left; when it passes the window's width it shrinks to the interval of the first `width` words. Where
 the matching statistic reaches the width, the interval's smallest document is reported for the window that starts there.
 
-An anchor in more than `HOT_DOCS` documents isn't a shard key: its windows travel singly, by the hash of their content,
+An anchor in more than `HOT_DOCS` documents (by a bitmap of fixed size) isn't a shard key: its windows travel singly, by the hash of their content,
 so equal ones reduce to one and no shard grows with the anchor.
 
 Defined cases: null, empty and short texts lose nothing; rows with a null doc_id lose nothing and take nothing from
@@ -38,7 +38,7 @@ ANCHOR_BITS = 25
 DOC_BITS = 22
 SHARD_WORDS = 400_000
 HOT_DOCS = 10_000
-HOT_ANCHORS = 1_000_000
+HOT_BITS = 22
 
 
 def window_anchors(h: np.ndarray, width: int, gram: int) -> np.ndarray:
@@ -208,9 +208,9 @@ def duplicate_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sha
     shared = cut(found.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n"))
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     seen_twice = spark.sparkContext.broadcast(np.frombuffer(bitmap(shared, f"anchor & {(1 << ANCHOR_BITS) - 1}L", ANCHOR_BITS), np.uint8))
-    # at most HOT_ANCHORS rows: their counts add up to no more than `total`
-    hot_from = max(hot_docs, total // HOT_ANCHORS)
-    hot = spark.sparkContext.broadcast(np.sort(shared.where(F.col("n") > hot_from).select("anchor").toArrow().column(0).to_numpy()))
+    # a false alarm among the hot ones costs time only: a region's windows then travel singly, the same way everywhere
+    slot_of = lambda bits: f"anchor & {(1 << bits) - 1}L"
+    hot = spark.sparkContext.broadcast(np.frombuffer(bitmap(shared.where(F.col("n") > hot_docs), slot_of(HOT_BITS), HOT_BITS), np.uint8))
 
     def cut_out(doc, text, hashes):
         """(anchor, start, words of the region) for regions whose anchor may be shared."""
@@ -220,10 +220,11 @@ def duplicate_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sha
         anchors, first, end = regions(hashes.of(words), width, gram)
         signed = anchors.view(np.int64)
         slot = (anchors & np.uint64((1 << ANCHOR_BITS) - 1)).astype(np.int64)
+        hot_slot = slot & ((1 << HOT_BITS) - 1)
+        is_hot = (hot.value[hot_slot >> 3] >> (hot_slot & 7)) & 1
         for i in np.flatnonzero((seen_twice.value[slot >> 3] >> (slot & 7)) & 1):
             a = int(signed[i])
-            at = np.searchsorted(hot.value, a)
-            if at < len(hot.value) and hot.value[at] == a:
+            if is_hot[i]:
                 for s in range(first[i], end[i]):
                     part = b" ".join(words[s : s + width])
                     yield _digest(part)[0], int(s), part
@@ -232,36 +233,30 @@ def duplicate_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, sha
 
     def emit_regions(batches):
         hashes = WordHashes()
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(a, *_digest(part), doc, part) for a, _, part in cut_out(doc, text, hashes)]
-                if len(rows) > 20_000:
-                    yield region_batch(rows)
-                    rows = []
-            if rows:
-                yield region_batch(rows)
+        names = ["anchor", "d1", "d2", "doc", "text_hash", "start", "part"]
 
-    def region_batch(rows):
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["anchor", "d1", "d2", "doc", "part"])
+        def made(rows):
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names)
 
-    def emit_places(batches):
-        hashes = WordHashes()
         for b in batches:
             rows = []
             for doc, text_hash, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows += [(a, *_digest(part), doc, text_hash, s) for a, s, part in cut_out(doc, text, hashes)]
+                rows += [(a, *_digest(part), doc, text_hash, start, part) for a, start, part in cut_out(doc, text, hashes)]
+                if len(rows) > 20_000:
+                    yield made(rows)
+                    rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["anchor", "d1", "d2", "doc", "text_hash", "start"])
+                yield made(rows)
 
     keys = ["anchor", "d1", "d2"]
-    parts = src.select("doc", "text").mapInArrow(emit_regions, "anchor long, d1 long, d2 long, doc long, part binary")
-    parts = parts.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("part").alias("part"))
+    # texts are cut up once; indexing reads the words, and the way back only the places
+    cuts = stored(src.select("doc", "text_hash", "text").mapInArrow(emit_regions, "anchor long, d1 long, d2 long, doc long, text_hash long, start long, part binary"))
+    parts = cuts.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("part").alias("part"))
     shards = int(max(1, total * (width + 22) // shard_words))
     dealt = parts.repartition(min(shards, 20_000), "anchor").sortWithinPartitions("anchor")
     least = dealt.mapInArrow(lambda it: _index_shards(it, width, shard_words), "anchor long, d1 long, d2 long, least array<long>")
-    places = src.select("doc", "text_hash", "text").mapInArrow(emit_places, "anchor long, d1 long, d2 long, doc long, text_hash long, start long")
+    places = cuts.select(*keys, "doc", "text_hash", "start")
     starts = F.filter(F.transform("least", lambda m, i: F.when(m < F.col("doc"), F.col("start").cast("int") + i)), lambda x: x.isNotNull())
     hits = places.join(least, keys).select("doc", "text_hash", starts.alias("s")).where(F.size("s") > 0)
     return hits.groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("s")).alias("hits"))
