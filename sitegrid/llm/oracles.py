@@ -25,6 +25,14 @@ def quality_rules() -> str:
     SELECT *, (fail_bits & {BASE.mask}) <> 0 AS base_failed, (fail_bits & {FULL.mask | BASE.mask}) = 0 AS kept, '{FULL.version}' AS policy FROM f"""
 
 
+def quality_ablations() -> str:
+    """What each rule of the full policy rejects, rejects alone, and what is kept without it."""
+    bits = ", ".join(f"('{r}', {1 << i})" for i, r in enumerate(RULES) if r in FULL.rules)
+    own = f"(fail_bits & {FULL.mask})"
+    return f"""SELECT rule, count(*) FILTER (WHERE {own} & bit <> 0) AS n_failed, count(*) FILTER (WHERE {own} = bit) AS n_only, count(*) FILTER (WHERE {own} & ~bit = 0) AS n_kept_without
+    FROM ({quality_rules()}) CROSS JOIN (VALUES {bits}) t(rule, bit) GROUP BY rule"""
+
+
 def url_filter() -> str:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     labels = ", ".join(f"'{x}'" for x in SPAM_LABELS)

@@ -14,6 +14,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's bits, aggregated: what each rule rejects, rejects alone, and what is kept without it."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.FULL)
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -52,13 +57,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_quality_rules, op2_piece_codec, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op8_graph_ann, op9_ngram_jaccard, op10_substring_dedup]
+    ops = [op1_quality_rules, quality_ablations, op2_piece_codec, op3_toxicity, op4_best_fit_packing, op5_url_filters, op6_pii, op7_line_dedup, op8_graph_ann, op9_ngram_jaccard, op10_substring_dedup]
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": oracles.quality_rules(),
+        "quality_ablations": oracles.quality_ablations(),
         "op5_url_filters": oracles.url_filter(),
         "op7_line_dedup": oracles.line_dedup(),
         "op9_ngram_jaccard": oracles.ngram_jaccard(),

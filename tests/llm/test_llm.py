@@ -59,6 +59,88 @@ def test_odd_rows_never_fail(spark, odd_docs, empty):
         assert substring_dedup.dedup(docs).count() == n
 
 
+def test_values_of_odd_rows(spark, odd_docs):
+    """Nulls, empty and very long texts, ties and repeated rows have the results that the docstrings state."""
+    empty_sha = hashlib.sha256(b"").hexdigest()
+    texts = {r.doc_id: r.text for r in odd_docs.collect() if r.doc_id is not None}
+    got = {}
+    for r in quality_rules.judge(odd_docs).collect():
+        got.setdefault(r.doc_id, set()).add((r.n_words, r.n_dup_lines, r.base_failed, r.kept))
+    assert got[1] == got[2] == got[3] == {(0, 0, True, False)} and got[9] == {(30_000, 0, False, True)}
+    assert len(got[5]) == 1 and got[8] == {(4 * len(LOREM.split()), 3, True, False)} and len(got[None]) == 2
+    codec = {(r.doc_id, r.n_tokens > 0, r.round_trip) for r in piece_codec.encode_documents(odd_docs).collect()}
+    assert {(1, False, True), (2, False, True), (9, True, True), (10, True, True)} <= codec
+    labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    for r in toxicity.toxic_scores(odd_docs, labels).collect():
+        assert 0 <= r.score <= 1 and (r.held_out is None) == (r.doc_id is None)
+        assert r.doc_id not in (1, 2, 3) or (r.score, r.predicted) == (0.0, 0)
+    packed = packing.pack(odd_docs).collect()
+    check_packing(packed, 2048)
+    one = zlib.crc32(np.array([0], "<u4").tobytes())
+    assert [(r.piece, r.start, r.length, r.ids_crc32) for r in packed if r.doc_id in (1, 2)] == [(0, 0, 1, one)] * 2
+    by_doc = Counter(r.doc_id for r in packed)
+    assert by_doc[5] == 2 and by_doc[None] == 2 and by_doc[9] > 10
+    pieces = sorted((r.piece, r.start, r.length) for r in packed if r.doc_id == 9)
+    assert all(p[1] == 2048 * p[0] for p in pieces) and all(p[2] == 2048 for p in pieces[:-1])
+    for r in pii.find_pii(odd_docs).collect():
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) == (0, 0, 0, 0, empty_sha, "")
+    lines = {}
+    for r in line_dedup.dedup(odd_docs).collect():
+        lines.setdefault(r.doc_id, []).append(r.text)
+    assert lines[1] == [None] and lines[2] == [""] and lines[3] == [texts[3]] and lines[4] == [texts[4]] and lines[10] == [texts[10]]
+    assert lines[5] == ["", ""] and lines[6] == [""] and lines[8] == [LOREM] and lines[11] == [""] and sorted(map(str, lines[None])) == sorted(["None", texts[4]])
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.join(odd_docs).collect() if r.doc_id is not None}
+    assert near[1] == (0, 1) and near[3] == (0, 3) and near[7] == (1, 7) and {near[k][1] for k in (4, 5, 6)} == {4} and near[9][1] == 9
+    kept = {}
+    for r in substring_dedup.dedup(odd_docs).collect():
+        kept.setdefault(r.doc_id, set()).add((r.n_words, r.n_removed))
+    assert kept[1] == kept[2] == kept[3] == {(0, 0)} and kept[4] == {(120, 0)} and kept[5] == {(120, 120)} and kept[6] == {(121, 120)} and kept[9] == {(30_000, 0)} and kept[None] == {(120, 0), (0, 0)}
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage of the pipeline on its predecessor's rows, with plain Python."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(17)
+    base = rand_words(rng, 90, 4000)
+    texts = {}
+    for i in range(100):
+        w = rand_words(rng, rng.randrange(12, 60), 4000) + ([rng.choice(["zorgish", "zorgan"]), "x."] if i % 4 == 0 else [])
+        if i % 10 == 3:
+            w = [*base[:-2], f"e{i}", f"f{i}"]
+        text = " ".join(w) + rng.choice(["", f" mail a{i}@b.org", " call +1 415 555 0123", " john at b dot com"])
+        texts[i] = text + (f"\n{LOREM} {i % 3}\nown line number {i} here" if i % 5 == 0 else "")
+    texts |= {100: None, 101: ""}
+    sf = str(tmp_path / "sf")
+    make(spark, list(texts.items())).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = common.table(spark, sf, "documents")
+    (_, toxic), (_, lines), (_, near), (_, private), (_, pack) = corpus_pipeline.STAGES
+    bad = {r.doc_id for r in toxicity.toxic_scores(docs, common.table(spark, sf, "labels")).collect() if r.predicted}
+    out = common.stored(toxic(spark, docs, sf))
+    kept = {r.doc_id: r.text for r in out.collect()}
+    assert kept == {i: t for i, t in texts.items() if i not in bad} and bad >= {i for i in range(0, 100, 4)} and len(bad) <= 27
+    out = common.stored(lines(spark, out, sf))
+    rows = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    want = brute_lines(kept)
+    assert rows == {i: (t, len(t) if t is not None else None) for i, t in want.items()}
+    out = common.stored(near(spark, out, sf))
+    firsts = {i for i, (_, root) in brute_components(want).items() if root == i}
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t for i, t in want.items() if i in firsts}
+    out = common.stored(private(spark, out, sf))
+    masked = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert masked == {i: (pii.masked(want[i]), len(pii.masked(want[i])) if want[i] is not None else None) for i in firsts}
+    assert not any(re.search(BASE["email"], t or "") or "415 555" in (t or "") or "john at" in (t or "") for t, _ in masked.values())
+    packed = pack(spark, out, sf).collect()
+    check_packing(packed, 2048)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sorted((r.doc_id, r.ids_crc32) for r in packed) == sorted((i, zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, (t, _) in masked.items())
+    nothing = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, sf).count() == 0, name
+
+
 def test_stages_keep_columns(spark, odd_docs):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0)], "doc_id long, quality int, toxic int")
     for out in (toxicity.drop_toxic(odd_docs, labels), line_dedup.dedup(odd_docs), ngram_jaccard.first_of_each(odd_docs), pii.mask(odd_docs)):
@@ -143,11 +225,34 @@ def test_noisy_or_finds_the_sentence():
     assert score(None)[0] == 0.0 and toxicity.fit([b"a"], [0]).scorer()(b"a b")[0] < 1e-9
 
 
+def test_noisy_or_and_the_fit(spark):
+    """1 - prod(1 - p) over sentences; and no small step of the weights or the bias raises the bags' likelihood much."""
+    rng = random.Random(4)
+    texts = [" ".join([*rand_words(rng, 9, 40), *(["badword"] if i % 3 == 0 else []), "end.", *rand_words(rng, 5, 40)]).encode() for i in range(240)]
+    labels = [int(i % 3 == 0) if i % 10 else int(i % 3 != 0) for i in range(240)]  # some labels are wrong, so weights stay finite
+    model = toxicity.fit(texts, labels, steps=3000, rate=0.05)
+    score = model.scorer()
+    for t in texts[:50]:
+        p, z, _ = score(t)
+        assert p == pytest.approx(1 - np.prod(1 - 1 / (1 + np.exp(-z))), abs=1e-12)
+
+    def loss(m):
+        p = np.clip([m.scorer()(t)[0] for t in texts], 1e-12, 1 - 1e-12)
+        return -np.mean(np.where(np.array(labels) > 0, np.log(p), np.log(1 - p)))
+
+    assert model.weights
+    for name in [*model.weights, None]:
+        moved = lambda d: toxicity.Model({k: v + d * (k == name) for k, v in model.weights.items()}, model.bias + d * (name is None))  # noqa: E731, B023
+        assert abs(loss(moved(1e-4)) - loss(moved(-1e-4))) / 2e-4 < 2e-3, name
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     out = toxicity.toxic_scores(common.table(spark, sf, "documents"), common.table(spark, sf, "labels"))
     rows = out.join(common.table(spark, sf, "labels"), "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows)
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic) > 0
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in out.collect())
 
 
