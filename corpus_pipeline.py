@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined cases, in every stage: an empty table gives no rows; other columns are carried along by all stages but the last.
+Null and empty texts score 0, lose no line, are nobody's copy, hold no personal data and are packed as the end id alone,
+so they stay to the end. Rows with a null doc_id are never learnt from, lose no line and are nobody's copy. Rows that
+repeat a doc_id are scored, masked and packed one by one; a line number goes in all of them if it goes in one; of near
+copies the rows with the smallest doc_id stay, another text under the same doc_id is judged on its own.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard", drop_near_duplicates), ("pii", mask_pii), ("packing", pack)]
 
-#: Learnt scores, hashing tokenisers and bin packing can't be said in SQL; the stages are tested against brute force.
+#: Learnt scores, hashing tokenisers and bin packing can't be said in SQL; each stage is tested against plain Python on its predecessor's rows.
 ORACLE_SQL = None
 
 
