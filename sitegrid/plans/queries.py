@@ -224,9 +224,9 @@ def j1_zip(spark, sf):
     return join.zip_rows(v.ref(spark, sf), v.total(spark, sf).select("chrom", "id", "mc", "cov"), CHROM)
 
 
-@_op("SELECT chrom, id, pos, strand, context, mc, cov FROM total WHERE chrom='chr2' AND pos BETWEEN 3000 AND 9000", "total")
+@_op("SELECT chrom, id, pos, strand, context, mc, cov FROM total WHERE chrom='chr2' AND pos BETWEEN 300 AND 9000", "total")
 def j2_range_by_reference(spark, sf):
-    return join.range_by_reference(v.ref(spark, sf), v.total(spark, sf).select("chrom", "id", "mc", "cov"), CHROM, "pos", {"chrom": "chr2"}, 3000, 9000)
+    return join.range_by_reference(v.ref(spark, sf), v.total(spark, sf).select("chrom", "id", "mc", "cov"), CHROM, "pos", {"chrom": "chr2"}, 300, 9000)
 
 
 @_op("SELECT g.region_id, g.start, g.stop, g.chrom, r.id, r.pos FROM regions g JOIN ref r ON r.chrom=g.chrom AND r.pos BETWEEN g.start AND g.stop", "ref", "regions")
