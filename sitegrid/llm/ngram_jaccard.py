@@ -11,8 +11,11 @@ Two documents link when the Jaccard similarity of their sets is at least `percen
 3. Equal sets are one class from then on. Prefix rows are dealt by shingle and sorted; a shingle with up to `MOST`
    documents gives the pairs that pass the length and positional filters, one with more only a star of edges.
 4. Pairs that share enough prefix shingles, and stars, make candidate clusters. Each document travels once to its
-   cluster's task, where all links inside are verified on whole sets. A cluster over `CLUSTER_SHINGLES` is cut into
-   blocks and verified block against block, so a task's memory is bounded, and no pair is left out.
+   cluster's task, where all links inside are verified on whole sets.
+5. The fuller the sketch, the more frequent shingles it hides, and their stars string strangers together. So steps 1
+   to 4 are done again, `AGAIN` times at most, for the documents of clusters over `CLUSTER_SHINGLES` alone, with a sketch
+   of their own. What is still over the bound is cut into blocks and verified block against block, so a task's memory
+   is bounded, and no pair is left out.
 
 No step emits all pairs of a group, and the result is one row per document with its component.
 
@@ -23,6 +26,8 @@ by their sets; other columns don't matter; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,50 +38,64 @@ from .common import Kept, WordHashes, components, flags, maybe_in, shingle_set,
 
 K = 5
 PERCENT = 80
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+#: Steps of a sketch's level for a doubled count: levels are 16 bits for any count of 32.
+LEVEL_STEPS = 2048
 BLOCK_BITS = 12
 MOST = 24
 LONGEST_EXTRA = 8
 VERIFY_WEIGHT = 8.0
 CLUSTER_SHINGLES = 3_000_000
+AGAIN = 2
 BITMAP_BITS = 22
 
 
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as 16-bit logarithms, which sort like them."""
+    return np.minimum(np.round(LEVEL_STEPS * np.log2(counts + 1.0)), 65535).astype("<u2")
+
+
+def counted(levels: np.ndarray) -> np.ndarray:
+    """The counts of levels, to a few parts in ten thousand."""
+    return np.exp2(levels / LEVEL_STEPS) - 1
+
+
 def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many distinct shingles of a document fall into each of 2**bits buckets, summed over all documents.
+    """How many distinct shingles of a document fall into each of 2**bits buckets, summed over all documents, as levels.
 
-    A task emits its counts in blocks; blocks are dealt by number and added up as they stream by.
+    A task emits its counts in blocks, the bytes of equal weight side by side and compressed; blocks are dealt by number
+    and added up as they stream by.
     """
-    width = 1 << BLOCK_BITS
+    block_bits = min(BLOCK_BITS, bits)
+    width = 1 << block_bits
 
     def count(batches):
-        hashes, total = WordHashes(), np.zeros(1 << bits, np.int64)
+        hashes, total = WordHashes(), np.zeros(1 << bits, np.int32)
         for b in batches:
             for text in b.column(0).to_pylist():
                 s = shingle_set(text, k, hashes)
-                if len(s) > 1 << 14:
-                    total += np.bincount((s & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-                elif len(s):
+                if len(s):
                     np.add.at(total, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         if total.any():
-            for i in range(0, 1 << (bits - BLOCK_BITS), 64):
-                ids = range(i, min(i + 64, 1 << (bits - BLOCK_BITS)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([total[j * width : (j + 1) * width].astype("<i4").tobytes() for j in ids], pa.binary())], ["block", "counts"])
+            rows = total.astype("<i4", copy=False).view(np.uint8).reshape(-1, width, 4)
+            for i in range(0, len(rows), 64):
+                ids = range(i, min(i + 64, len(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([zlib.compress(rows[j].T.tobytes(), 1) for j in ids], pa.binary())], ["block", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<i4")
+                part = np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, width).T).view("<i4").ravel()
                 total[i] = total[i] + part if i in total else part.astype(np.int64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([np.minimum(v, 2**31 - 1).astype("<i4").tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([level(v).tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
 
     parts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "block int, counts binary")
-    out = np.zeros(1 << bits, np.int32)
+    out = np.zeros(1 << bits, "<u2")
     got = parts.repartition(F.col("block")).mapInArrow(add, "block int, counts binary").toArrow()
     for i, raw in zip(got.column("block").to_pylist(), got.column("counts").to_pylist(), strict=True):
-        out[i * width : (i + 1) * width] = np.frombuffer(raw, "<i4")
+        out[i * width : (i + 1) * width] = np.frombuffer(raw, "<u2")
     return out
 
 
@@ -93,15 +112,16 @@ def choose_extra(counts: np.ndarray, base: int, noise: float, most: int) -> int:
     return int(np.argmin(cost))
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, k: int = K, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+def signatures(docs: DataFrame, levels: np.ndarray, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, hash of the text, n, digest of the set (h1, h2), l and the prefix, rare shingles first."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counts)  # 2**bits integers
-    mean = float(counts.mean())
+    shared = spark.sparkContext.broadcast(levels)  # 2**bits levels
+    low_bits = np.uint64(len(levels) - 1)
+    mean = sum(float(counted(part).sum()) for part in np.split(levels, max(1, len(levels) >> 16))) / len(levels)
     noise = mean + 4 * mean**0.5 + 1
 
     def run(batches):
-        counts, hashes = shared.value, WordHashes()
+        levels, hashes = shared.value, WordHashes()
         for b in batches:
             n, h1, h2, ell, prefix = [], [], [], [], []
             for text in b.column(2).to_pylist():
@@ -116,10 +136,11 @@ def signatures(docs: DataFrame, counts: np.ndarray, k: int = K, percent: int = P
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 h1.append((d >> 64) - (1 << 63))
                 h2.append((d & (1 << 64) - 1) - (1 << 63))
-                c = counts[(s & np.uint64((1 << bits) - 1)).astype(np.int64)]
+                c = levels[(s & low_bits).astype(np.int64)]
                 order = np.argsort(c, kind="stable")
                 base = base_prefix(len(s), percent)
-                extra = choose_extra(c[order], base, noise, min(LONGEST_EXTRA, len(s) - base))
+                most = min(LONGEST_EXTRA, len(s) - base)
+                extra = choose_extra(counted(c[order[: base + most]]), base, noise, most)
                 ell.append(extra + 1)
                 prefix.append(s[order[: base + extra]].view(np.int64))
             sizes = np.fromiter(map(len, prefix), np.int64, len(prefix))
@@ -277,24 +298,59 @@ def clusters_linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return rows.select(cols).repartition("root", "part", "other").sortWithinPartitions("root", "part", "other").mapInArrow(run, "a long, b long")
 
 
-def _joined(docs: DataFrame, k: int, percent: int, most: int, cluster_shingles: int) -> DataFrame:
-    """doc_id, hash of the text, n_shingles, component_id of every row.
-
-    Equal sets are one class, and classes are numbered: a doc_id that is repeated with another text is another class.
-    """
-    sigs = stored(signatures(docs, sketch(docs, k), k, percent))
+def _candidates(docs: DataFrame, k: int, percent: int, most: int, keep, save) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of the rows, their classes (node, h1, h2, least, n), and the classes' candidate clusters (root)."""
+    sigs = save(signatures(docs, sketch(docs, k), k, percent))
     named = sigs.where("n > 0 and doc_id is not null")
     reps = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "ell", "prefix")).alias("s"))
-    reps = stored(reps.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "s.*"))
+    reps = save(reps.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "s.*"))
     exploded = reps.select("node", "n", "ell", F.posexplode("prefix").alias("i", "key"))
     info = F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 6)).bitwiseOR(F.col("ell").cast("long"))
     keyed = exploded.select("key", "node", info.alias("info")).repartition(F.col("key")).sortWithinPartitions("key")
     edges = keyed.mapInArrow(lambda it: shared_shingles(it, percent, most), "a long, b long, need long")
     pairs = edges.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("low"), F.max("need").alias("need"))
+    near = keep(pairs.where("low = 0 or c >= need").select("a", "b"))
+    cluster = components(near, keep)
+    return sigs, reps, keep(cluster.join(reps.select("node", "h1", "h2", "least", "n"), "node").select("node", "root", "h1", "h2", "least", "n"))
+
+
+def _large(sized: DataFrame, most: int) -> DataFrame:
+    """root and t, the shingles of its classes, of the clusters over a bound."""
+    return sized.groupBy("root").agg(F.sum("n").alias("t")).where(F.col("t") > most)
+
+
+def narrowed(docs: DataFrame, sized: DataFrame, k: int, percent: int, most: int, cluster_shingles: int, keep) -> DataFrame:
+    """The clusters `sized`, those over the bound replaced by what a search among their own documents makes of them.
+
+    All links of a cluster's documents lie inside it, so the search finds them again, in smaller clusters if it can.
+    """
+    before = None
+    for _ in range(AGAIN):
+        large = keep(_large(sized, cluster_shingles))
+        total = large.agg(F.sum("t")).first()[0]
+        if total is None or before is not None and 2 * total > before:
+            break
+        before = total
+        over = keep(sized.join(large.select("root"), "root", "left_semi"))
+        # other documents that the flags let through find no class in `over`
+        own = docs.where(F.coalesce(maybe_in(flags(over, "least", BITMAP_BITS, keep), "doc_id", BITMAP_BITS), F.lit(False)))
+        fine = _candidates(own, k, percent, most, keep, keep)[2].select("h1", "h2", F.col("root").alias("fine"))
+        fine = keep(over.drop("root").join(fine, ["h1", "h2"]))
+        # a cluster's root is one of its nodes, so it can't be another's
+        named = fine.join(fine.groupBy("fine").agg(F.min("node").alias("root")), "fine").select(sized.columns)
+        sized = keep(sized.join(large.select("root"), "root", "left_anti").select(sized.columns).unionByName(named))
+    return sized
+
+
+def _joined(docs: DataFrame, k: int, percent: int, most: int, cluster_shingles: int) -> DataFrame:
+    """doc_id, hash of the text, n_shingles, component_id of every row.
+
+    Equal sets are one class, and classes are numbered: a doc_id that is repeated with another text is another class.
+    """
     with Kept(docs.sparkSession) as keep:
-        near = keep(pairs.where("low = 0 or c >= need").select("a", "b"))
-        cluster = components(near, keep)
-        sized = keep(cluster.join(reps.select("node", "h1", "least", "n"), "node"))
+        sigs, reps, sized = _candidates(docs, k, percent, most, keep, stored)
+        named = sigs.where("n > 0 and doc_id is not null")
+        sized = narrowed(docs, sized, k, percent, most, cluster_shingles, keep)
         found = stored(_verified(docs, sized, k, percent, cluster_shingles, keep))
     roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).groupBy("node").agg(F.min("root").alias("root"))
     linked = roots.join(reps.select("node", "least"), "node")
@@ -309,8 +365,7 @@ def _joined(docs: DataFrame, k: int, percent: int, most: int, cluster_shingles:
 def _verified(docs: DataFrame, sized: DataFrame, k: int, percent: int, cluster_shingles: int, keep) -> DataFrame:
     """(node, root) of the classes that have links, from the candidate clusters' texts."""
     # clusters over the bound are cut into blocks; block i meets every block j >= i
-    weight = sized.groupBy("root").agg(F.sum("n").alias("t"))
-    big = keep(weight.where(F.col("t") > cluster_shingles).select("root", F.ceil(F.col("t") / (cluster_shingles // 2)).cast("int").alias("blocks")))
+    big = keep(_large(sized, cluster_shingles).select("root", F.ceil(F.col("t") / (cluster_shingles // 2)).cast("int").alias("blocks")))
     split = not big.isEmpty()
     placed = sized.select(F.col("node").alias("doc"), "root", "h1", "least")
     if split:

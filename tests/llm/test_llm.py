@@ -502,6 +502,34 @@ def test_components_against_brute_force(spark, most, cluster):
     assert got == brute_components(texts)
 
 
+def test_a_strung_cluster_is_searched_again(spark):
+    """A cluster over the bound falls apart into what its own documents link, instead of being copied block by block."""
+    texts = near_texts(random.Random(4), n_groups=12, size=4)
+    docs = make(spark, list(texts.items()))
+    with common.Kept(spark) as keep:
+        reps = ngram_jaccard._candidates(docs, 5, 80, 24, keep, keep)[1]
+        strung = keep(reps.select("node", F.lit(0).cast("long").alias("root"), "h1", "h2", "least", "n"))
+        rows = ngram_jaccard.narrowed(docs, strung, 5, 80, 24, 300, keep).collect()
+    found, weight = {r.least: r.root for r in rows}, Counter()
+    for r in rows:
+        weight[r.root] += r.n
+    assert sum(weight.values()) > 300 and max(weight.values()) < 4 * 130 and len(weight) > 4
+    want = brute_components(texts)
+    linked = [(a, b) for a, b in itertools.combinations(sorted(want), 2) if want[a][1] == want[b][1] and texts[a] != texts[b]]
+    assert linked and all(found[a] == found[b] for a, b in linked if a in found and b in found)
+    assert all(a in found and b in found for a, b in linked if want[a][0] and [texts[c] for c in sorted(texts) if c < b].count(texts[b]) == 0 and [texts[c] for c in sorted(texts) if c < a].count(texts[a]) == 0)
+
+
+def test_sketch_counts_in_many_buckets(spark):
+    """Enough buckets that frequent shingles stand out at gigabytes; counts come back from their levels."""
+    passage = " ".join(rand_words(random.Random(8), 30, 9000))
+    levels = ngram_jaccard.sketch(make(spark, [(i, f"{passage} own{i}") for i in range(300)]))
+    assert len(levels) >= 1 << 22 and levels.dtype.itemsize == 2
+    counts = np.sort(np.round(ngram_jaccard.counted(levels)))
+    assert counts[-26:].min() >= 300 and counts.sum() == 300 * 27
+    assert np.allclose(ngram_jaccard.counted(ngram_jaccard.level(np.array([0, 1, 70_000, 2**31]))), [0, 1, 70_000, 2**31], rtol=1e-3)
+
+
 def test_repeated_ids_are_told_apart_by_their_texts(spark):
     rng = random.Random(5)
     a, b = rand_words(rng, 100, 5000), " ".join(rand_words(rng, 100, 5000))
