@@ -4,10 +4,9 @@ A document is its token ids and one end id. Pieces are packed shard by shard, a
 pieces chosen by hash, so a task never sees more. A shard starts with every piece in a sequence of its own. A local
 search then works on the sequences that still have room, from the fullest to the emptiest: it moves a piece, exchanges
 one for one, or two for one, always taking the exchange that raises the fuller sequence most. Each step raises the sum
-of squared fills, so the search ends, and emptied sequences disappear. Moves and one-for-one exchanges look at all
-lengths in the shard; two-for-one exchanges, tried where those leave a gap, look at the `DONORS` emptiest sequences and
-at two pieces of a length and `DONOR_PIECES` pieces of each. These parameters bound the time of a step; pieces that
-they leave out of a step stay in their sequences and are packed like all others.
+of squared fills, so the search ends, and emptied sequences disappear. All exchanges look at all lengths in the shard.
+Two for one is tried where the others leave a gap; its two pieces may come from two sequences. It spends small pieces,
+so a first pass does without, and passes with it follow until one changes nothing.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id stays null; repeated rows are packed one by
 one; a text of any length is cut into full pieces and a shorter last one; other columns are ignored; an empty table
@@ -19,9 +18,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -34,8 +32,6 @@ from .common import cut
 CAPACITY = 2048
 END_ID = 0
 SHARD_PIECES = 40_000
-DONORS = 4
-DONOR_PIECES = 64
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -182,9 +178,38 @@ class _Pool:
         """Greatest length at most `most` in the pool, 0 if none."""
         return (self.mask & ((1 << (most + 1)) - 1)).bit_length() - 1 if most > 0 and self.mask & ((1 << (most + 1)) - 1) else 0
 
-
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, donors: int = DONORS) -> list[list[int]]:
-    """Local search over the underfull bins; every step raises the squared fill, so there are never more bins."""
+    def two(self, most: int, least: int) -> tuple[int, int] | None:
+        """Two lengths p >= q in the pool with the greatest sum over `least` that is at most `most`; equal ones have two holders."""
+        best, p = None, self.longest(most - 1)
+        while 2 * p > least:
+            q = self.longest(min(p, most - p))
+            if q == p and len(self.where[p]) < 2:
+                q = self.longest(p - 1)
+            if q and p + q > least:
+                best, least = (p, q), p + q
+                if least == most:
+                    break
+            p = self.longest(p - 1)
+        return best
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Local search over the underfull bins: a pass without two-for-one exchanges, then passes with them."""
+
+    def square(bins):
+        return sum(sum(lengths[i] for i in items) ** 2 for items in bins)
+
+    bins = _pass(bins, lengths, capacity, False)
+    have = square(bins)
+    while True:
+        bins = _pass(bins, lengths, capacity, True)
+        if (now := square(bins)) == have:
+            return bins
+        have = now
+
+
+def _pass(bins: list[list[int]], lengths: list[int], capacity: int, pairs: bool) -> list[list[int]]:
+    """Every underfull bin once; every step raises the squared fill, so there are never more bins."""
     sizes = [defaultdict(list) for _ in bins]
     fill = [0] * len(bins)
     for at, items in enumerate(bins):
@@ -199,8 +224,6 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, donors: in
             for s in sizes[at]:
                 pool.add(s, at)
     heapq.heapify(heap)
-    low = sorted((fill[at], at) for _, at in heap)
-    low_at = 0
 
     def take(at: int, size: int, pooled: bool) -> int:
         i = sizes[at][size].pop()
@@ -239,32 +262,28 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, donors: in
                 x = pool.longest(y + gap)
                 if x - y > best[0]:
                     best = (x - y, (y,), (x,))
-            if best[0] < gap:  # two for one, from the emptiest sequences
-                while low_at < len(low) and (low[low_at][1] not in open_bins or not fill[low[low_at][1]]):
-                    low_at += 1
-                for _, a in low[low_at : low_at + donors]:
-                    if a not in open_bins:
-                        continue
-                    have = [s for s, items in sizes[a].items() for _ in items[:2]][:DONOR_PIECES]
-                    for p, q in combinations(have, 2):
-                        for y in sizes[b]:
-                            if best[0] < p + q - y <= gap:
-                                best = (p + q - y, (y,), (p, q, a))
+            if pairs and best[0] < gap:  # two for one
+                for y in sizes[b]:
+                    if come := pool.two(y + gap, y + best[0]):
+                        best = (sum(come) - y, (y,), come)
             gain, out, come = best
             if not gain or out is None:
                 break
-            if len(come) == 3:
-                donor, come = come[2], come[:2]
-            else:
-                donor = next(iter(pool.where[come[0]]))
-            if fill[b] + gain <= fill[donor]:  # the squared fill wouldn't rise
-                break
-            moved = [(s, take(donor, s, True)) for s in come]
+            # the two may come from one sequence or from two; what leaves b goes to the last of them
+            givers = [next(iter(pool.where[come[0]]))]
+            if len(come) == 2:
+                givers.append(next(a for a in pool.where[come[1]] if come[0] != come[1] or a != givers[0]))
+            after = Counter({b: gain, givers[-1]: sum(out)})
+            for s, a in zip(come, givers, strict=True):
+                after[a] -= s
+            if fill[givers[-1]] + after[givers[-1]] > capacity or sum((fill[a] + d) ** 2 - fill[a] ** 2 for a, d in after.items()) <= 0:
+                break  # the squared fill wouldn't rise
+            moved = [(s, take(a, s, True)) for s, a in zip(come, givers, strict=True)]
             back = [(s, take(b, s, False)) for s in out]
             for s, i in moved:
                 put(b, s, i, False)
             for s, i in back:
-                put(donor, s, i, True)
+                put(givers[-1], s, i, True)
     return [[i for items in sizes[at].values() for i in items] for at in range(len(bins)) if fill[at]]
 
 

@@ -306,6 +306,16 @@ def test_local_search_never_hurts_and_empties_bins():
     assert len(packing.improve(naive, sizes, 100)) <= -(-sum(sizes) // 100) + 12
 
 
+def test_two_for_one_empties_bins():
+    """Single pieces to start with, as pack_pieces has them: two pieces from two sequences must be able to come."""
+    for sizes, n in (([40, 18, 18, 53, 42, 74, 19, 27], 3), ([48, 23, 56, 35, 21, 63, 34, 16, 34, 55], 4)):
+        single = [[i] for i in range(len(sizes))]
+        first = packing._pass(single, sizes, 100, False)
+        end = packing.improve(single, sizes, 100)
+        assert len(end) == n < len(first) and sorted(itertools.chain(*end)) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) <= 100 for b in end)
+
+
 def test_search_reaches_the_bound_on_documents(spark):
     rows = packing.pack(common.table(spark, "/root/testdata/sf0.01", "documents")).collect()
     assert check_packing(rows, 2048) == -(-sum(r.length for r in rows) // 2048)
