@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, WordHashes, components, flags, maybe_in, shingle_set, stored
+from .common import Kept, WordHashes, components, flags, maybe_in, shingle_set, stored, tidy
 
 K = 5
 PERCENT = 80
@@ -70,6 +70,7 @@ def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
     width = 1 << block_bits
 
     def count(batches):
+        tidy()
         hashes, total = WordHashes(), np.zeros(1 << bits, np.int32)
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -121,6 +122,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, k: int = K, percent: int = P
     noise = mean + 4 * mean**0.5 + 1
 
     def run(batches):
+        tidy()
         levels, hashes = shared.value, WordHashes()
         for b in batches:
             n, h1, h2, ell, prefix = [], [], [], [], []
@@ -268,6 +270,7 @@ def clusters_linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) edges that span the linked documents of every (root, part, other); rows have doc, h1, text and side."""
 
     def run(batches):
+        tidy()
         hashes = WordHashes()
         held: list[tuple] = []
         key = None

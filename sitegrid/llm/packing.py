@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import REMEMBERED, cut, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -94,6 +94,9 @@ def _known_chunks(path: str) -> ChunkIds:
     return ChunkIds(Tokenizer.from_file(path))
 
 
+REMEMBERED["packing"] = _known_chunks.cache_clear
+
+
 def encoder(path: str):
     """texts (UTF-8 or None) -> ids as bytes, by the public vocabulary file."""
     known = _known_chunks(path)
@@ -126,8 +129,8 @@ def encoder(path: str):
     return encode
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; no shuffle."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, remember: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece; no shuffle. Workers remember chunks for their next task, or not."""
     if vocabulary is None:
         import public_tokenizers
 
@@ -135,6 +138,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
+        tidy("packing")
         encode = encoder(vocabulary)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -152,6 +156,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        if not remember:
+            tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -310,6 +316,6 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, shard_pieces: int = S
     return sharded.groupBy("_shard").applyInPandas(run, f"{schema}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, remember: bool = True) -> DataFrame:
     """Pieces of all documents with their place in a sequence."""
-    return pack_pieces(pieces(docs, vocabulary, capacity), capacity, shard_pieces)
+    return pack_pieces(pieces(docs, vocabulary, capacity, remember), capacity, shard_pieces)

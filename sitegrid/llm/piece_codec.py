@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import REMEMBERED, tidy
+
 BLANK = "▁"
 VOCABULARY = "piece_bpe_32k.model"
 TEXT_CHARS = 1_000_000
@@ -312,6 +314,9 @@ def _codec(path: str) -> Codec:
     return Codec(path)
 
 
+REMEMBERED["piece_codec"] = _codec.cache_clear
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_sha256 and round_trip (decoding gives the text back) of every document."""
     if vocabulary is None:
@@ -321,6 +326,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, with_ids: b
     names = ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
 
     def run(batches):
+        tidy("piece_codec")
         codec = _codec(vocabulary)
         for b in batches:
             texts = b.column(1).to_pylist()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -280,6 +282,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches):
+        tidy()
         for b in batches:
             counts, sha, every, extra = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -317,6 +320,7 @@ def mask(docs: DataFrame) -> DataFrame:
     """The documents with identifiers masked and n_chars counted anew; all other columns as they were."""
 
     def run(batches):
+        tidy()
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = pa.array([masked(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SAMPLE = 4000
 LEAST_BAGS = 3
 LEAST_RATIO = 8.0
@@ -172,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches):
+        tidy()
         got = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[1] or b""))
         if got:
             model = fit([r[1] for r in got], [int(r[2]) for r in got])
@@ -188,6 +191,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: lis
     """doc_id, held_out, score, predicted and the offending sentences (first word:one after the last word, from 0)."""
 
     def run(batches):
+        tidy()
         scorer = model.scorer()
         for b in batches:
             scores, found = [], []
@@ -217,6 +221,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels)
 
     def run(batches):
+        tidy()
         scorer = model.scorer()
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))

@@ -316,6 +316,15 @@ def test_two_for_one_empties_bins():
         assert all(sum(sizes[i] for i in b) <= 100 for b in end)
 
 
+def test_workers_forget_for_other_operators():
+    """A worker that packed doesn't hold its chunks while it serves another operator, but does for its own next task."""
+    list(packing.encoder(public_tokenizers.path(packing.VOCABULARY))([b"some words"]))
+    common.tidy("packing")
+    assert packing._known_chunks.cache_info().currsize == 1
+    common.tidy()
+    assert packing._known_chunks.cache_info().currsize == 0
+
+
 def test_search_reaches_the_bound_on_documents(spark):
     rows = packing.pack(common.table(spark, "/root/testdata/sf0.01", "documents")).collect()
     assert check_packing(rows, 2048) == -(-sum(r.length for r in rows) // 2048)
