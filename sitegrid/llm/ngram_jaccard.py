@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, WordHashes, components, flags, maybe_in, shingle_set, stored, tidy
+from .common import Kept, WordHashes, components, flags, maybe_in, released, shingle_set, stored, tidied
 
 K = 5
 PERCENT = 80
@@ -70,7 +70,6 @@ def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
     width = 1 << block_bits
 
     def count(batches):
-        tidy()
         hashes, total = WordHashes(), np.zeros(1 << bits, np.int32)
         for b in batches:
             for text in b.column(0).to_pylist():
@@ -92,9 +91,10 @@ def sketch(docs: DataFrame, k: int = K, bits: int = SKETCH_BITS) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([level(v).tobytes() for v in total.values()], pa.binary())], ["block", "counts"])
 
-    parts = docs.select(F.col("text").cast("binary")).mapInArrow(count, "block int, counts binary")
+    parts = docs.select(F.col("text").cast("binary")).mapInArrow(tidied(count), "block int, counts binary")
     out = np.zeros(1 << bits, "<u2")
-    got = parts.repartition(F.col("block")).mapInArrow(add, "block int, counts binary").toArrow()
+    with released(docs.sparkSession):
+        got = parts.repartition(F.col("block")).mapInArrow(add, "block int, counts binary").toArrow()
     for i, raw in zip(got.column("block").to_pylist(), got.column("counts").to_pylist(), strict=True):
         out[i * width : (i + 1) * width] = np.frombuffer(raw, "<u2")
     return out
@@ -122,7 +122,6 @@ def signatures(docs: DataFrame, levels: np.ndarray, k: int = K, percent: int = P
     noise = mean + 4 * mean**0.5 + 1
 
     def run(batches):
-        tidy()
         levels, hashes = shared.value, WordHashes()
         for b in batches:
             n, h1, h2, ell, prefix = [], [], [], [], []
@@ -154,7 +153,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, k: int = K, percent: int = P
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, th long, n long, h1 long, h2 long, ell int, prefix array<long>")
+    return docs.select("doc_id", F.xxhash64("text"), F.col("text").cast("binary")).mapInArrow(tidied(run), f"doc_id {kind}, th long, n long, h1 long, h2 long, ell int, prefix array<long>")
 
 
 def _pairs(doc: np.ndarray, info: np.ndarray, percent: int) -> list[np.ndarray] | None:
@@ -270,7 +269,6 @@ def clusters_linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) edges that span the linked documents of every (root, part, other); rows have doc, h1, text and side."""
 
     def run(batches):
-        tidy()
         hashes = WordHashes()
         held: list[tuple] = []
         key = None
@@ -298,23 +296,30 @@ def clusters_linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
         yield from solve()
 
     cols = ["root", "part", "other", "side", "doc", "h1", "text"]
-    return rows.select(cols).repartition("root", "part", "other").sortWithinPartitions("root", "part", "other").mapInArrow(run, "a long, b long")
+    return rows.select(cols).repartition("root", "part", "other").sortWithinPartitions("root", "part", "other").mapInArrow(tidied(run), "a long, b long")
 
 
 def _candidates(docs: DataFrame, k: int, percent: int, most: int, keep, save) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of the rows, their classes (node, h1, h2, least, n), and the classes' candidate clusters (root)."""
-    sigs = save(signatures(docs, sketch(docs, k), k, percent))
-    named = sigs.where("n > 0 and doc_id is not null")
-    reps = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "ell", "prefix")).alias("s"))
-    reps = save(reps.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "s.*"))
-    exploded = reps.select("node", "n", "ell", F.posexplode("prefix").alias("i", "key"))
-    info = F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 6)).bitwiseOR(F.col("ell").cast("long"))
-    keyed = exploded.select("key", "node", info.alias("info")).repartition(F.col("key")).sortWithinPartitions("key")
-    edges = keyed.mapInArrow(lambda it: shared_shingles(it, percent, most), "a long, b long, need long")
-    pairs = edges.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("low"), F.max("need").alias("need"))
-    near = keep(pairs.where("low = 0 or c >= need").select("a", "b"))
+    """Sizes and digests of the rows, their classes (node, h1, h2, least, n), and the classes' candidate clusters (root).
+
+    Prefixes take most of the room: those of rows go once classes have them, those of classes once pairs are found.
+    """
+    with Kept(docs.sparkSession) as wide:
+        with Kept(docs.sparkSession) as every:
+            full = every(signatures(docs, sketch(docs, k), k, percent))
+            named = full.where("n > 0 and doc_id is not null")
+            reps = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "ell", "prefix")).alias("s"))
+            reps = wide(reps.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "s.*"))
+            sigs = save(full.drop("ell", "prefix"))
+        exploded = reps.select("node", "n", "ell", F.posexplode("prefix").alias("i", "key"))
+        info = F.shiftleft("n", 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 6)).bitwiseOR(F.col("ell").cast("long"))
+        keyed = exploded.select("key", "node", info.alias("info")).repartition(F.col("key")).sortWithinPartitions("key")
+        edges = keyed.mapInArrow(tidied(lambda it: shared_shingles(it, percent, most)), "a long, b long, need long")
+        pairs = edges.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("need").alias("low"), F.max("need").alias("need"))
+        near = keep(pairs.where("low = 0 or c >= need").select("a", "b"))
+        reps = save(reps.drop("ell", "prefix"))
     cluster = components(near, keep)
-    return sigs, reps, keep(cluster.join(reps.select("node", "h1", "h2", "least", "n"), "node").select("node", "root", "h1", "h2", "least", "n"))
+    return sigs, reps, keep(cluster.join(reps, "node").select("node", "root", "h1", "h2", "least", "n"))
 
 
 def _large(sized: DataFrame, most: int) -> DataFrame:
@@ -351,18 +356,17 @@ def _joined(docs: DataFrame, k: int, percent: int, most: int, cluster_shingles:
     Equal sets are one class, and classes are numbered: a doc_id that is repeated with another text is another class.
     """
     with Kept(docs.sparkSession) as keep:
-        sigs, reps, sized = _candidates(docs, k, percent, most, keep, stored)
-        named = sigs.where("n > 0 and doc_id is not null")
+        sigs, reps, sized = _candidates(docs, k, percent, most, keep, keep)
         sized = narrowed(docs, sized, k, percent, most, cluster_shingles, keep)
-        found = stored(_verified(docs, sized, k, percent, cluster_shingles, keep))
-    roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).groupBy("node").agg(F.min("root").alias("root"))
-    linked = roots.join(reps.select("node", "least"), "node")
-    low = linked.groupBy("root").agg(F.min("least").alias("low"))
-    labels = linked.join(low, "root").select("node", "low")
-    classes = reps.select("node", "h1", "h2", "least").join(labels, "node", "left").select("h1", "h2", F.coalesce("low", "least").alias("component_id"))
-    out = ["doc_id", "th", F.col("n").alias("n_shingles"), "component_id"]
-    alone = sigs.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).select(out)
-    return named.join(classes, ["h1", "h2"]).select(out).unionByName(alone)
+        found = keep(_verified(docs, sized, k, percent, cluster_shingles, keep))
+        roots = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).groupBy("node").agg(F.min("root").alias("root"))
+        linked = keep(roots.join(reps.select("node", "least"), "node"))
+        low = linked.groupBy("root").agg(F.min("least").alias("low"))
+        labels = linked.join(low, "root").select("node", "low")
+        classes = reps.select("node", "h1", "h2", "least").join(labels, "node", "left").select("h1", "h2", F.coalesce("low", "least").alias("component_id"))
+        out = ["doc_id", "th", F.col("n").alias("n_shingles"), "component_id"]
+        alone = sigs.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id")).select(out)
+        return stored(sigs.where("n > 0 and doc_id is not null").join(classes, ["h1", "h2"]).select(out).unionByName(alone))
 
 
 def _verified(docs: DataFrame, sized: DataFrame, k: int, percent: int, cluster_shingles: int, keep) -> DataFrame:

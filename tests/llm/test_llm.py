@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import oracle
@@ -628,3 +629,24 @@ def test_pipeline(spark, sf):
         assert out.columns == docs.columns, name
     rows = corpus_pipeline.run(spark, sf).collect()
     check_packing(rows, 2048)
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for f in Path(str(d)).rglob("shuffle_*")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """A job's disk holds one query's shuffle at a time, whenever the driver collects its garbage; the switch is put back."""
+    before, switch = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(switch)
+    rows = common.stored(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    ngram_jaccard.sketch(make(spark, [(1, LOREM), (2, LOREM)]), bits=8)
+    assert not shuffle_files(spark) - before and spark.conf.get(switch) == was
+    assert rows.count() == 10
+
+
+def test_components_keep_no_prefixes(spark):
+    """What stays after op9's search is a few numbers a document, not the prefixes of its shingles."""
+    rows = ngram_jaccard._joined(make(spark, [(1, LOREM), (2, LOREM + " x")]), 5, 80, 24, 300)
+    assert "prefix" not in rows._jdf.queryExecution().optimizedPlan().toString()
