@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import REMEMBERED, cut, tidy
+from .common import REMEMBERED, cut, tidied
 
 CAPACITY = 2048
 END_ID = 0
@@ -138,7 +138,6 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        tidy("packing")
         encode = encoder(vocabulary)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -156,11 +155,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        if not remember:
-            tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(tidied(run, "packing" if remember else ""), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class _Pool:

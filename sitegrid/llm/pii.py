@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidied
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -282,7 +282,6 @@ def find_pii(docs: DataFrame) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches):
-        tidy()
         for b in batches:
             counts, sha, every, extra = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -295,7 +294,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(sha, pa.string()), pa.array(every, pa.string()), pa.array(extra, pa.int64())], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long")
 
 
 def masked(text: str | None) -> str | None:
@@ -320,11 +319,10 @@ def mask(docs: DataFrame) -> DataFrame:
     """The documents with identifiers masked and n_chars counted anew; all other columns as they were."""
 
     def run(batches):
-        tidy()
         for b in batches:
             at = b.schema.get_field_index("text")
             texts = pa.array([masked(t) for t in b.column(at).to_pylist()], b.schema.field(at).type)
             yield b.set_column(at, b.schema.field(at), texts)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import released, tidied
 
 SAMPLE = 4000
 LEAST_BAGS = 3
@@ -94,19 +94,20 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 300, rate: float = 0
     if not len(y) or y.min() == y.max():
         return zero
     ids: dict[bytes, int] = {}
-    tokens, sentence_of, doc_of, n_sent = [], [], [], 0
+    tokens, starts_of, first_sent = [], [], [0]  # word ids and sentences' first words of a bag, and its first sentence's number
+    doc_of = []
     for d, text in enumerate(texts):
         parts = text.lower().split() if text else []
         if not parts:
             continue
         starts = sentence_starts(np.array([w[-1:] in (b".", b"!", b"?") for w in parts]))
-        tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in parts), np.int64, len(parts)))
-        sentence_of.append(n_sent + np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(parts)))))
+        tokens.append(np.fromiter((ids.setdefault(w, len(ids)) for w in parts), np.int32, len(parts)))
+        starts_of.append(starts.astype(np.int32))
         doc_of.append(np.full(len(starts), d))
-        n_sent += len(starts)
+        first_sent.append(first_sent[-1] + len(starts))
     if not tokens:
         return zero
-    tokens, sentence_of, doc_of = map(np.concatenate, (tokens, sentence_of, doc_of))
+    doc_of, n_sent = np.concatenate(doc_of), first_sent[-1]
     # features are numbered by hash, so that no table of their names is kept
     size = np.zeros(len(ids), np.int64)
     hashed = array("Q")
@@ -123,11 +124,11 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 300, rate: float = 0
         ends = np.cumsum(n)
         return np.repeat(np.arange(len(words)), n), flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[words] - ends + n, n)]
 
-    in_bag = np.unique((doc_of[sentence_of] << 32) | tokens)
-    at, f = spread(in_bag & 0xFFFFFFFF)
-    in_bag = np.unique(((in_bag >> 32)[at] << 32) | f)
-    bag, f = in_bag >> 32, in_bag & 0xFFFFFFFF
-    pos, neg = np.bincount(f[y[bag] > 0], minlength=n_feats), np.bincount(f[y[bag] == 0], minlength=n_feats)
+    # bag by bag, so that no table of all words' features is held at once
+    pos, neg = np.zeros(n_feats, np.int64), np.zeros(n_feats, np.int64)
+    for words, start in zip(tokens, first_sent, strict=False):
+        bag = pos if y[doc_of[start]] > 0 else neg
+        bag[np.unique(spread(np.unique(words))[1])] += 1
     n_pos, n_neg = y.sum(), len(y) - y.sum()
     good = (pos >= LEAST_BAGS) & ((pos + 0.5) / (n_pos + 1) >= LEAST_RATIO * (neg + 0.5) / (n_neg + 1))
     both, rate_all = pos + neg, n_pos / len(y)
@@ -135,9 +136,14 @@ def fit(texts: list[bytes], labels: list[int], steps: int = 300, rate: float = 0
     good &= 2 * (entropy(pos, both, rate_all) + entropy(neg, both, 1 - rate_all)) >= LEAST_EVIDENCE
     number = np.cumsum(good) - 1
     # a table of how often a screened feature occurs in a sentence
-    at, f = spread(tokens)
-    ok = good[f]
-    key, count = np.unique((sentence_of[at[ok]] << 32) | number[f[ok]], return_counts=True)
+    keys, counts = [], []
+    for words, starts, start in zip(tokens, starts_of, first_sent, strict=False):
+        at, f = spread(words)
+        ok = good[f]
+        key, count = np.unique((start - 1 + np.searchsorted(starts, at[ok], "right") << 32) | number[f[ok]], return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    key, count = np.concatenate(keys), np.concatenate(counts)
     s_of, f_of = key >> 32, key & 0xFFFFFFFF
     k = int(good.sum())
     if not k:
@@ -174,7 +180,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
     def run(batches):
-        tidy()
         got = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[1] or b""))
         if got:
             model = fit([r[1] for r in got], [int(r[2]) for r in got])
@@ -182,7 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*model.weights.values(), model.bias], pa.float64())], ["feature", "weight"])
 
     # the bounded sample meets in one task, so that the driver holds nothing but the weights
-    found = dict(map(tuple, rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(run, "feature string, weight double").collect()))
+    fitted = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).repartition(1).mapInArrow(tidied(run), "feature string, weight double")
+    with released(docs.sparkSession):
+        found = dict(map(tuple, fitted.collect()))
     bias = found.pop("", -30.0)
     return Model(found, bias)
 
@@ -191,7 +198,6 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: lis
     """doc_id, held_out, score, predicted and the offending sentences (first word:one after the last word, from 0)."""
 
     def run(batches):
-        tidy()
         scorer = model.scorer()
         for b in batches:
             scores, found = [], []
@@ -209,7 +215,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: lis
 
     src = docs.select("doc_id", *keep, F.col("text").cast("binary").alias("text"), held_out().alias("held_out"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "text")
-    return src.mapInArrow(run, f"{schema}, score double, predicted int, sentences string")
+    return src.mapInArrow(tidied(run), f"{schema}, score double, predicted int, sentences string")
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -221,11 +227,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels)
 
     def run(batches):
-        tidy()
         scorer = model.scorer()
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
             ok = [scorer(t.encode() if t else None)[0] < threshold for t in texts.to_pylist()]
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -650,3 +651,22 @@ def test_components_keep_no_prefixes(spark):
     """What stays after op9's search is a few numbers a document, not the prefixes of its shingles."""
     rows = ngram_jaccard._joined(make(spark, [(1, LOREM), (2, LOREM + " x")]), 5, 80, 24, 300)
     assert "prefix" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fit_holds_one_bag_at_a_time():
+    """The fit's memory follows the words, not all words' features at once."""
+    rng = random.Random(3)
+    vocab = [f"word{i:05d}" for i in range(5000)]
+    texts = [" ".join(["venom"] * (d % 2) + rng.choices(vocab, k=2000)).encode() for d in range(300)]
+    tracemalloc.start()
+    model = toxicity.fit(texts, [d % 2 for d in range(300)], steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "w:venom" in model.weights and peak < 12 * 300 * 2000
+
+
+def test_a_task_tidies_when_it_ends(monkeypatch):
+    seen = []
+    monkeypatch.setitem(common.REMEMBERED, "other", lambda: seen.append("forgot"))
+    run = common.tidied(lambda batches: (b + 1 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and seen == ["forgot", "forgot"]
