@@ -670,3 +670,20 @@ def test_a_task_tidies_when_it_ends(monkeypatch):
     monkeypatch.setitem(common.REMEMBERED, "other", lambda: seen.append("forgot"))
     run = common.tidied(lambda batches: (b + 1 for b in batches))
     assert list(run(iter([1, 2]))) == [2, 3] and seen == ["forgot", "forgot"]
+
+
+def test_leaders_settle_a_group_of_near_copies(spark):
+    """Most lines that resemble an earlier one are settled by a leader, though not every two of the group are similar."""
+    rng = random.Random(8)
+    base = [f"base{i}" for i in range(60)]
+    texts = [(d, " ".join(f"own{d}x{i}" if rng.random() < 0.1 else w for i, w in enumerate(base))) for d in range(250)]
+    docs = make(spark, texts)
+    sets = [set(t.split()) for _, t in texts]
+    alike = {b for a, b in itertools.combinations(range(250), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    with common.Kept(spark) as keep:
+        first = line_dedup.first_lines(docs, 80, keep)
+        led = keep(line_dedup.led_pairs(first, 80))
+        assert led.count() == led.select("l_doc", "l_ln").distinct().count()
+        settled = {r.doc_id for r in line_dedup.similar_later(docs, led, 80, keep).collect()}
+        every = {r.doc_id for r in line_dedup.dominated_lines(docs, first, 80, keep).select("doc_id").collect()}
+    assert every == alike and settled <= alike and len(settled) > 0.6 * len(alike) > 60
