@@ -76,7 +76,8 @@ class ChunkIds(dict):
         plain = [_PLAIN.fullmatch(t) for t in texts]
         self._learn_words(list({w for m in plain if m for w in (m[1].lower(), m[2]) if w} - self.parts.keys()))
         odd = [c for c, m in zip(chunks, plain, strict=True) if not m]
-        self.update(zip(odd, self._encode([c.decode("utf-8", "replace") for c in odd]), strict=True))
+        for i in range(0, len(odd), 5_000):  # the library's results are much larger than the ids
+            self.update(zip(odd[i : i + 5_000], self._encode([c.decode("utf-8", "replace") for c in odd[i : i + 5_000]]), strict=True))
         parts = self.parts
         for c, m in zip(chunks, plain, strict=True):
             if m:
@@ -97,15 +98,16 @@ def _known_chunks(path: str) -> ChunkIds:
 REMEMBERED["packing"] = _known_chunks.cache_clear
 
 
-def encoder(path: str):
-    """texts (UTF-8 or None) -> ids as bytes, by the public vocabulary file."""
+def encoder(path: str, limit: int = 350_000, most_words: int = 300_000):
+    """texts (UTF-8 or None) -> ids as bytes, by the public vocabulary file; limit chunks are known, most_words in hand."""
     known = _known_chunks(path)
+    known.limit = limit
 
     def encode(texts: list[bytes | None]):
         at = 0
         while at < len(texts):
             found, gaps, fresh, n_words = [], [], set(), 0
-            while at < len(texts) and n_words < 300_000:
+            while at < len(texts) and n_words < most_words:
                 chunks = texts[at].split() if texts[at] else []
                 ids = list(map(known.get, chunks))
                 gap, i = [], -1
@@ -138,11 +140,11 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary) if remember else encoder(vocabulary, 120_000, 60_000)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            texts = b.column(1).to_pylist()
-            for i, ids in enumerate(encode(texts)):
+            texts = (text for i in range(0, len(b), 500) for text in encode(b.column(1).slice(i, 500).to_pylist()))
+            for i, ids in enumerate(texts):
                 ids += end
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]

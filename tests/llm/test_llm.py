@@ -687,3 +687,17 @@ def test_leaders_settle_a_group_of_near_copies(spark):
         settled = {r.doc_id for r in line_dedup.similar_later(docs, led, 80, keep).collect()}
         every = {r.doc_id for r in line_dedup.dominated_lines(docs, first, 80, keep).select("doc_id").collect()}
     assert every == alike and settled <= alike and len(settled) > 0.6 * len(alike) > 60
+
+
+def test_packing_holds_as_many_chunks_as_it_may():
+    """In a pipeline a worker knows fewer chunks and has fewer words in hand; the ids are the same."""
+    path, rng = public_tokenizers.path(packing.VOCABULARY), random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh12", k=6)) for _ in range(900)).encode() for _ in range(20)]
+    want = list(packing.encoder(path)(texts))
+    common.tidy()
+    got = []
+    for ids in packing.encoder(path, 2000, 1000)(texts):
+        got.append(ids)
+        assert len(packing._known_chunks(path)) <= 2000
+    common.tidy()
+    assert got == want
