@@ -689,6 +689,27 @@ def test_leaders_settle_a_group_of_near_copies(spark):
     assert every == alike and settled <= alike and len(settled) > 0.6 * len(alike) > 60
 
 
+def test_line_joins_deal_their_rows_once(spark):
+    """Leaders and those who meet them share one exchange, heads as both sides another; marks are exact, bitmap or not."""
+    rng = random.Random(9)
+    docs = make(spark, [(d, " ".join(rand_words(rng, 30, 60))) for d in range(60)])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    dealt = lambda df: len(re.findall(r"- Exchange hashpartitioning\(key", df._jdf.queryExecution().executedPlan().toString()))
+    with common.Kept(spark) as keep:
+        first = line_dedup.first_lines(docs, 80, keep)
+        settled = keep(first.where("doc_id % 3 = 0").select("doc_id", "ln"))
+        try:
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            assert dealt(line_dedup.led_pairs(first, 80)) == 1
+            assert dealt(line_dedup.open_pairs(first, settled, 80, keep)) == 2
+        finally:
+            for k, v in held.items():
+                spark.conf.set(k, v)
+        marks = {r.doc_id: r.open for r in line_dedup.marked(first, settled, keep).collect()}
+    assert marks == {d: int(d % 3 != 0) for d in range(60)}
+
+
 def test_packing_holds_as_many_chunks_as_it_may():
     """In a pipeline a worker knows fewer chunks and has fewer words in hand; the ids are the same."""
     path, rng = public_tokenizers.path(packing.VOCABULARY), random.Random(6)
