@@ -137,7 +137,7 @@ class Matcher:
         """(start, piece rank) of every occurrence of every piece in the text, and the positions no single piece covers."""
         p, width = self.p, self.p.longest
         alphabet, dense = np.unique(codes, return_inverse=True)
-        kind = ">u2" if len(alphabet) < 65000 else ">u4"
+        kind = ">u1" if len(alphabet) < 250 else ">u2" if len(alphabet) < 65000 else ">u4"
         padded = np.zeros(len(dense) + width, kind)
         padded[: len(dense)] = dense + 1
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, width)[: len(dense)]).view(f"S{width * padded.itemsize}").ravel()
@@ -184,7 +184,8 @@ class Matcher:
         ok = inside[start]
         start, rank, end = start[ok], rank[ok], end[ok]
         depth = end - begin[owner[start]]
-        order = np.argsort(depth, kind="stable")
+        # numbers of 16 bits are sorted digit by digit
+        order = np.argsort(depth.astype(np.uint16) if sizes.max(initial=0) < 1 << 16 else depth, kind="stable")
         start, rank, end, depth = start[order], rank[order], end[order], depth[order]
         last = np.full(len(text) + 1, -1, np.int64)
         back = np.zeros(len(text) + 1, np.int64)
@@ -296,8 +297,9 @@ class Codec:
                 n += len(split[-1])
                 at += 1
             if len(self.memory) + len(fresh) > self.limit:
-                self.memory.clear()
-                fresh = set().union(*split)
+                # what this round needs again isn't learnt again
+                needed = set().union(*split)
+                self.memory = {s: ids for s, ids in self.memory.items() if s in needed}
             self.learn(fresh)
             for parts in split:
                 yield b"".join(map(self.memory.__getitem__, parts))

@@ -204,6 +204,16 @@ def test_piece_memory_is_bounded():
     assert [x for t in texts for x in codec.encode([t])] == list(fresh.encode(texts))
 
 
+def test_full_piece_memory_keeps_what_is_needed(monkeypatch):
+    codec = piece_codec.Codec(public_tokenizers.path("piece_bpe_32k.model"), limit=50)
+    learnt, learn = [], codec.learn
+    monkeypatch.setattr(codec, "learn", lambda new: (learnt.append(len(new)), learn(new)))
+    first, second = (" ".join(f"w{k}" for k in range(a, a + 40)) for a in (0, 20))
+    want = list(piece_codec.Codec(public_tokenizers.path("piece_bpe_32k.model")).encode([first, second]))
+    assert [x for t in (first, second) for x in codec.encode([t])] == want
+    assert learnt == [40, 20] and len(codec.memory) == 40
+
+
 # 3
 
 
