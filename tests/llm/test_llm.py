@@ -720,6 +720,24 @@ def test_line_joins_deal_their_rows_once(spark):
     assert marks == {d: int(d % 3 != 0) for d in range(60)}
 
 
+def test_line_levels_are_counted_on_a_sample(spark):
+    """Few lines give the levels, only wide lines pay for the wide signature, and no similar pair is missed by either."""
+    rng = random.Random(10)
+    sizes = range(line_dedup.WIDE - 8, line_dedup.WIDE + 9)
+    texts = list(enumerate(" ".join(f"v{g}x{i}" for i in rng.sample(range(n + 5), n)) for g in range(3) for n in sizes))
+    docs, sets = make(spark, texts), [set(t.split()) for _, t in texts]
+    alike = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    with common.Kept(spark) as keep:
+        own = make(spark, [(d, " ".join(f"own{d}x{i}" for i in range(5))) for d in range(100)])
+        (levels,) = spark.range(1).select(line_dedup.bucket_levels(own, keep)).first()
+        first = line_dedup.first_lines(docs, 80, keep)
+        sizes_x = {(r.n > line_dedup.WIDE, r.x != 0) for r in first.collect()}
+        pairs = {(r.e_doc, r.l_doc) for r in line_dedup.open_pairs(first, first.select("doc_id", "ln").where("false"), 80, keep).collect()}
+    assert 0 < sum(v != 0 for v in levels) < 0.5 * 500
+    assert sizes_x == {(False, False), (True, True)}
+    assert alike <= pairs and len(alike) > 60
+
+
 def test_packing_holds_as_many_chunks_as_it_may():
     """In a pipeline a worker knows fewer chunks and has fewer words in hand; the ids are the same."""
     path, rng = public_tokenizers.path(packing.VOCABULARY), random.Random(6)
