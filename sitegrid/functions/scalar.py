@@ -6,6 +6,9 @@ rounding to significant digits nor a log-gamma function.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -86,13 +89,21 @@ def sig3(x: pd.Series) -> pd.Series:
 
 #: Numbers up to which logarithms of factorials are looked up; beyond, Stirling's series is exact to the last digits.
 FACTORIALS = 1 << 16
+#: Weights up to this factor of the seen one count as no likelier, as a logarithm.
+TIE = math.log(1 + 1e-7)
 #: Cells of hypergeometric tables that are summed at once.
 CELLS = 1 << 21
 
 
 @lru_cache(maxsize=1)
 def _log_factorials() -> np.ndarray:
-    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, FACTORIALS, dtype=np.float64)))])
+    """The C library's lgamma, which SQL engines call too; Python's own differs from it in the last digits."""
+    try:
+        lgamma = ctypes.CDLL(ctypes.util.find_library("m") or "libm.so.6").lgamma
+        lgamma.restype, lgamma.argtypes = ctypes.c_double, [ctypes.c_double]
+    except (OSError, AttributeError):
+        lgamma = math.lgamma
+    return np.array([lgamma(n + 1.0) for n in range(FACTORIALS)])
 
 
 def log_factorial(n: np.ndarray) -> np.ndarray:
@@ -129,6 +140,9 @@ def fisher_exact(a, b, c, d) -> np.ndarray:
     """Two-sided p of 2x2 tables: the sum of all tables with the same margins that are no likelier than the one seen.
 
     Different tables are computed once, many at a time; memory is bounded by CELLS and the widest reach of a table.
+    Tables of fewer than FACTORIALS in all are summed step by step as the formula reads, k upwards, so that the last
+    digits are those of the same formula in SQL; in larger ones such logarithms lose digits, and weights are taken
+    relative to their greatest.
     """
     tables = np.stack([np.asarray(v, np.int64) for v in (a, b, c, d)], 1)
     if not len(tables):
@@ -136,32 +150,65 @@ def fisher_exact(a, b, c, d) -> np.ndarray:
     tables, back = np.unique(tables, axis=0, return_inverse=True)
     seen, row1, row2, col1 = tables[:, 0], tables[:, 0] + tables[:, 1], tables[:, 2] + tables[:, 3], tables[:, 0] + tables[:, 2]
     low, high = np.maximum(0, col1 - row2), np.minimum(row1, col1)
+    small = row1 + row2 < FACTORIALS
     for i in np.flatnonzero(high - low > FACTORIALS):
         low[i], high[i] = _reach(*(int(v[i]) for v in (low, high, row1, row2, col1)))
-    size = high - low + 1
     out = np.empty(len(tables))
-    at = 0
-    while at < len(tables):
-        n = max(1, int(np.searchsorted(np.cumsum(size[at:]), CELLS, "right")))
-        own = slice(at, at + n)
-        starts = np.concatenate([[0], np.cumsum(size[own])[:-1]])
-        of = np.repeat(np.arange(at, at + n), size[own])
-        k = np.arange(len(of)) - starts[of - at] + low[of]
-        logp = _log_p(k, row1[of], row2[of], col1[of])
-        top = np.maximum.reduceat(logp, starts)
-        p = np.exp(logp - top[of - at])
-        mine = np.exp(_log_p(seen[own], row1[own], row2[own], col1[own]) - top)
-        counted = np.add.reduceat(np.where(p <= mine[of - at] * (1 + 1e-7), p, 0.0), starts)
-        out[own] = np.minimum(1.0, counted / np.add.reduceat(p, starts))
-        at += n
+    for which, weigh in ((small, _formula), (~small, _relative)):
+        own = np.flatnonzero(which)
+        size = np.cumsum(high[own] - low[own] + 1)
+        at = 0
+        while at < len(own):
+            n = max(1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CELLS, "right")) - at)
+            t = own[at : at + n]
+            out[t] = np.minimum(1.0, weigh(low[t], high[t], seen[t], row1[t], row2[t], col1[t]))
+            at += n
     return out[back.ravel()]
 
 
+def _cells(low, high):
+    """The numbers of each support one after the other: where each starts, whose each is, and the number itself."""
+    size = high - low + 1
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    of = np.repeat(np.arange(len(size)), size)
+    return starts, of, np.arange(len(of)) - starts[of] + low[of]
+
+
+def _formula(low, high, seen, row1, row2, col1) -> np.ndarray:
+    _, of, k = _cells(low, high)
+    lf, col2 = log_factorial, row1 + row2 - col1
+    margins = lf(row1) + lf(row2) + lf(col1) + lf(col2) - lf(row1 + row2)
+    logp = lambda k, m, r1, r2, c1: m - lf(k) - lf(r1 - k) - lf(c1 - k) - lf(r2 - c1 + k)
+    p = logp(k, margins[of], row1[of], row2[of], col1[of])
+    counted = np.flatnonzero(p <= (logp(seen, margins, row1, row2, col1) + TIE)[of])
+    # the C library's exponentials, summed in order: NumPy's own may differ from both in the last digit
+    weights = np.fromiter(map(math.exp, p[counted].tolist()), float, len(counted))
+    return np.bincount(of[counted], weights, len(seen))
+
+
+def _relative(low, high, seen, row1, row2, col1) -> np.ndarray:
+    starts, of, k = _cells(low, high)
+    logp = _log_p(k, row1[of], row2[of], col1[of])
+    top = np.maximum.reduceat(logp, starts)
+    p = np.exp(logp - top[of])
+    mine = np.exp(_log_p(seen, row1, row2, col1) - top)
+    counted = np.add.reduceat(np.where(p <= mine[of] * (1 + 1e-7), p, 0.0), starts)
+    return counted / np.add.reduceat(p, starts)
+
+
 @F.pandas_udf(T.DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series(fisher_exact(a, b, c, d))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many decimals, halves away from 0, as SQL engines round a double: the product is rounded, not the decimals that are printed."""
+    y = F.abs(x) * F.lit(10.0**digits)
+    whole = F.floor(y).cast("double")
+    near = (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+    return F.when(y < 2.0**53, F.when(x < 0, -near).otherwise(near)).otherwise(x)
+
+
 def odds_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
     """a*d / (b*c); infinite where only the denominator is 0, null for 0/0."""
     top, bottom = (a * d).cast("double"), (b * c).cast("double")

@@ -408,13 +408,13 @@ _FISHER = """SELECT sample, chrom, id, CASE WHEN b*c<>0 THEN CAST(a*d AS DOUBLE)
 
 @_op(_FISHER, "m")
 def v3_fisher(spark, sf):
-    return matrix.fisher_long(v.m(spark, sf), SITE).withColumn("pval", F.round("pval", 9))
+    return matrix.fisher_long(v.m(spark, sf), SITE).withColumn("pval", fn.rounded(F.col("pval"), 9))
 
 
 @_op("SELECT chrom, id, " + ", ".join(f"max(CASE WHEN sample='{s}' THEN odd_ratio END) AS \"{s}.odd_ratio\", max(CASE WHEN sample='{s}' THEN pval END) AS \"{s}.pval\"" for s in SAMPLES) + f" FROM ({_FISHER}) GROUP BY chrom, id", "m")
 def v3_fisher_matrix(spark, sf):
     wide = matrix.fisher(v.m(spark, sf), SITE, SAMPLES, rounded=False)
-    return wide.select(*SITE, *(x for s in SAMPLES for x in (F.col(f"`{s}.odd_ratio`"), F.round(F.col(f"`{s}.pval`"), 9).alias(f"{s}.pval"))))
+    return wide.select(*SITE, *(x for s in SAMPLES for x in (F.col(f"`{s}.odd_ratio`"), fn.rounded(F.col(f"`{s}.pval`"), 9).alias(f"{s}.pval"))))
 
 
 @_op("SELECT r.chrom, r.pos-1 AS start, r.pos, r.strand, r.context, x.* EXCLUDE (chrom, id) FROM ref r JOIN (SELECT chrom, id, " + _pivot_sql("mc", ".mc") + " FROM m GROUP BY chrom, id) x USING (chrom, id)", "m")
