@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import saturate
 from ..model import ordinals
-from .join import by_id_intervals
+from .join import by_id_intervals, with_class
 
 
 def merge_samples(m: DataFrame, keys: list[str], values: list[str], formats: list[str] | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def merge_samples(m: DataFrame, keys: list[str], values: list[str], formats: lis
 def merge_classes(m: DataFrame, classes: DataFrame, keys: list[str], values: list[str], formats: list[str] | None = None, key: str = "sample") -> DataFrame:
     """merge_samples per class."""
     own = next(c for c in classes.columns if c != key)
-    return merge_samples(m.join(classes, key), [own, *keys], values, formats)
+    return merge_samples(with_class(m, classes, key), [own, *keys], values, formats)
 
 
 def running_sums(df: DataFrame, dims: list[str], values: list[str], block: int = 65_536) -> DataFrame:

@@ -112,8 +112,11 @@ def first_at_or_after(ref: DataFrame, points: DataFrame, dims: list[str], pos: s
 
 
 def with_class(df: DataFrame, classes: DataFrame, key: str = "sample") -> DataFrame:
-    """Rows of the classified samples with their class."""
-    return df.join(classes, key)
+    """Rows of the classified samples with their class.
+
+    The class table has a row a sample and goes to every task: dealt by sample, all rows of one would meet in a task.
+    """
+    return df.join(F.broadcast(classes), key)
 
 
 def attributes(regions: DataFrame, dmr: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,8 +32,8 @@ def in_order(df: DataFrame, dim: str, values: list[str], by: list[str] = ("id",)
 
 
 def by_order_table(df: DataFrame, dim: str, order: DataFrame, by: list[str] = ("id",)) -> DataFrame:
-    """Like in_order, with the list as a table (dim, ord)."""
-    return df.join(order, dim).orderBy("ord", *by)
+    """Like in_order, with the list as a table (dim, ord), which goes to every task."""
+    return df.join(F.broadcast(order), dim).orderBy("ord", *by)
 
 
 def by_context(df: DataFrame, pattern: str) -> DataFrame:

@@ -120,7 +120,7 @@ def order_file(spark: SparkSession, path: str, dim: str = "chrom") -> DataFrame:
 def contigs(spark: SparkSession, path: str, names: list[str], formats: dict[str, str], order: DataFrame | None = None, dim: str = "chrom", **more) -> DataFrame:
     """Delimited text restricted to, and numbered by, an order table."""
     rows = delimited(spark, path, names, formats, dims=[dim], **more)
-    return rows if order is None else rows.join(order, dim)
+    return rows if order is None else rows.join(F.broadcast(order), dim)
 
 
 def class_table(spark: SparkSession, path: str, names: tuple[str, str] = ("sample", "cell_class")) -> DataFrame:
