@@ -19,7 +19,8 @@ from ..storage import new_folder
 def delimited(spark: SparkSession, path: str, names: list[str], formats: dict[str, str], use: list[str] | None = None, dims: list[str] = (), sep: str = "\t", header: bool = False, skip: int = 0) -> DataFrame:
     """Columns of delimited text, plain or gzip: chosen by name, saturated to their formats, dimensions as text in front.
 
-    A gzip file is one task to read; its rows are dealt out right after. skip: leading lines that aren't data.
+    A gzip file is one task to read; its rows are dealt out right after, by their number in the file: dealt in turn,
+    Spark would sort them all in that task first. skip: leading lines that aren't data.
     """
     if skip:
         rows = _without_first_lines(spark, path, skip + int(header))
@@ -27,7 +28,7 @@ def delimited(spark: SparkSession, path: str, names: list[str], formats: dict[st
     else:
         raw = spark.read.csv(path, sep=sep, header=header, schema=T.StructType([T.StructField(n, T.StringType()) for n in names]), enforceSchema=True)
     if ".gz" in path:
-        raw = raw.repartition(spark.sparkContext.defaultParallelism)
+        raw = raw.withColumn("_row", F.monotonically_increasing_id()).repartition(spark.sparkContext.defaultParallelism, "_row").drop("_row")
     return _typed(raw, [n for n in names if n not in dims] if use is None else use, formats, dims)
 
 
@@ -146,8 +147,8 @@ def write_keyed(df: DataFrame, path: str, dims: list[str], mode: str = "error",
 
 
 def write_text(df: DataFrame, path: str, header: bool = True, compression: str = "none", single: bool = False) -> None:
-    """Tab-separated text; single: in one file."""
-    (df.coalesce(1) if single else df).write.csv(path, sep="\t", header=header, compression=compression, quote="", escapeQuotes=False)
+    """Tab-separated text; single: in one file, its rows in no set order, by a task that writes and does nothing else."""
+    (df.repartition(1) if single else df).write.csv(path, sep="\t", header=header, compression=compression, quote="", escapeQuotes=False)
 
 
 def write_matrix(df: DataFrame, path: str, order: list[str]) -> None:

@@ -61,3 +61,17 @@ def test_no_rows_are_dealt_by_sample_or_chrom_alone(spark, sf, name):
     """A few values that all rows share: dealt by them, the rows of one would meet in a task."""
     plan = q.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\((sample|chrom)#\d+, \d", plan)
+
+
+def test_one_gzip_file_is_written_and_read_without_sorting_in_a_task(spark, tmp_path):
+    """What comes before a single file stays in its own tasks, and its rows are dealt out as they are read."""
+    from sitegrid.sources import text
+
+    keys = spark.range(4000).select(F.col("id").cast("string").alias("k"), (F.col("id") % 2).alias("n"))
+    text.write_text(keys.repartition(4, "k").sortWithinPartitions("k"), str(tmp_path / "t.gz"), compression="gzip", single=True)
+    assert len(list((tmp_path / "t.gz").glob("part-*"))) == 1
+    got = text.delimited(spark, str(tmp_path / "t.gz"), ["k", "n"], {"n": "H"}, dims=["k"], header=True)
+    assert sorted((int(r.k), r.n) for r in got.collect()) == [(k, k % 2) for k in range(4000)]
+    assert "RoundRobin" not in got._jdf.queryExecution().executedPlan().toString()
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 4000 / spark.sparkContext.defaultParallelism
