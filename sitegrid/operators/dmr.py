@@ -50,24 +50,47 @@ def autocorrelation(sites: DataFrame, by: list[str], step: int, dist: int) -> Da
 def combine(sites: DataFrame, acf: DataFrame, by: list[str], step: int, dist: int) -> DataFrame:
     """Adds combined_p: Stouffer-Liptak over the sites within `dist`, their correlations taken from acf.
 
-    Windows run inside position bins that carry a margin of `dist` from their neighbours, so a long dimension value is
-    many tasks and a site's neighbourhood is all that a row holds.
+    Position bins that carry a margin of `dist` from their neighbours are computed apart, so a long dimension value is
+    many tasks; no site's neighbourhood is written out.
     """
-    width = max(100 * dist, 10_000)
+    width, lags = max(100 * dist, 10_000), -(-dist // step)
     table = acf.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("lag", "r"))).alias("_acf"))
+    by_lag = F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.coalesce(F.try_element_at(F.col("_acf"), k), F.lit(0.0)))
     first, final = F.floor((F.col("pos") - dist) / width), F.floor((F.col("pos") + dist) / width)
     spread = sites.withColumn("_own", F.floor(F.col("pos") / width)).withColumn("_bin", F.explode(F.sequence(first, final)))
-    near = Window.partitionBy(*by, "_bin").orderBy("pos").rangeBetween(-dist, dist)
-    rows = spread.withColumn("_n", F.collect_list(F.struct("pos", "z")).over(near)).where("_own = _bin").join(table, by, "left")
-    lags = -(-dist // step)
+    rows = spread.join(F.broadcast(table), by, "left").select(*sites.columns, "_own", "_bin", by_lag.alias("_r"))
+    names = sites.columns
 
-    @F.pandas_udf(T.DoubleType())
-    def stouffer(ps: pd.Series, zs: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series(stouffer_liptak_all(ps, zs, [v if v is not None else [0.0] * lags for v in r], step))
+    def own(bin: pd.DataFrame) -> pd.DataFrame:
+        bin = bin.sort_values("pos", kind="stable")
+        mine = (bin["_own"] == bin["_bin"]).to_numpy()
+        r = bin["_r"].iloc[0]
+        p = combined(bin["pos"].to_numpy(np.int64), bin["z"].to_numpy(float), mine, [0.0] * lags if r is None else r, step, dist)
+        return bin.loc[mine, names].assign(combined_p=p)
 
-    by_lag = F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), lambda k: F.coalesce(F.try_element_at(F.col("_acf"), k), F.lit(0.0)))
-    out = rows.withColumn("combined_p", stouffer(F.col("_n.pos"), F.col("_n.z"), by_lag))
-    return out.drop("_own", "_bin", "_n", "_acf")
+    return rows.groupBy(*by, "_bin").applyInPandas(own, T.StructType([*sites.schema.fields, T.StructField("combined_p", T.DoubleType())]))
+
+
+def combined(pos: np.ndarray, z: np.ndarray, mine: np.ndarray, by_lag, step: int, dist: int) -> np.ndarray:
+    """stouffer_liptak() of the sites within `dist` of each site that is `mine`, from sorted positions.
+
+    The pairs up to a lag are counted by running sums: a site's partners before it are those within the lag, or those
+    from the neighbourhood's first site on where that one is nearer.
+    """
+    at = pos[mine]
+    if not len(at):
+        return np.empty(0)
+    a, b = np.searchsorted(pos, at - dist, "left"), np.searchsorted(pos, at + dist, "right")
+    score = np.add.reduceat(np.append(z, 0.0), np.stack([a, b], 1).ravel())[::2]
+    spread, before = (b - a).astype(float), 0
+    for c, r in enumerate(by_lag):
+        low = np.searchsorted(pos, pos - (c + 1) * step, "left")
+        partners = np.concatenate([[0], np.cumsum(np.arange(len(pos)) - low)])
+        full = np.minimum(np.searchsorted(low, a, "left"), b)  # from this site on, all partners lie in the neighbourhood
+        within = (full - a) * (full - a - 1) // 2 + partners[b] - partners[full]
+        spread += 2 * r * (within - before)
+        before = within
+    return np.array([0.5 * math.erfc(t / math.sqrt(2 * max(v, 1e-12))) for t, v in zip(score, spread, strict=True)])
 
 
 def stouffer_liptak_all(pos, z, by_lag, step: int) -> np.ndarray:

@@ -312,3 +312,14 @@ def test_shared_folder_is_needed_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         storage.shared_folder(Session())
+
+
+def test_combined_scores_of_a_bin_equal_each_neighbourhood_alone():
+    import numpy as np
+
+    rng = random.Random(11)
+    for n in (1, 2, 300):
+        pos = np.sort(np.array([rng.randrange(10 * n) for _ in range(n)]))
+        z, mine, by_lag = np.array([rng.gauss(0, 1) for _ in range(n)]), np.array([rng.random() < 0.7 for _ in range(n)]), [0.4, 0.2, 0.1]
+        want = [dmr.stouffer_liptak(pos[near], z[near], by_lag, 10) for p in pos[mine] for near in [np.abs(pos - p) <= 25]]
+        assert dmr.combined(pos, z, mine, by_lag, 10, 25).tolist() == want
